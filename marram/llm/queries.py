@@ -27,12 +27,26 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark, table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeated_passages
+
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["s"], x["e"])), ",")
+    found = repeated_passages(spark, table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_repeated", text("spans").alias("spans"), text("later").alias("later"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
     return near_duplicates(spark, table(spark, sf_dir, "documents"), size=3, percent=85)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import licenses
+
+    return licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import warc_round_trip
 
@@ -62,7 +76,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_pii, op3_mixing, op5_minhash_near_dedup, op7_warc, op8_decontamination, op9_secrets, op10_token_output)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_pii, op3_mixing, op4_suffix_dedup, op5_minhash_near_dedup, op6_license_scan, op7_warc, op8_decontamination, op9_secrets, op10_token_output)}
 
 
 def oracle_sql() -> dict[str, str]:
