@@ -91,21 +91,81 @@ def _scanner(windows):
     return scan
 
 
+def _filter(windows, spans: bool):
+    """Over whole rows, text last: those without a hit, or all with the hit words cut out of the text."""
+
+    def scan(batches):
+        known = windows.value
+        for batch in batches:
+            text = batch.column(batch.num_columns - 1)
+            hit: dict[int, list[tuple[int, int]]] = defaultdict(list)
+            for at, words in runs(text, ASCII_NON_ALNUM):
+                for i, length, _ in known.hits(words):
+                    d = int(np.searchsorted(words.lo, i, "right")) - 1
+                    lo = int(words.offsets[d])
+                    hit[at + d].append((int(words.starts[i]) - lo, int(words.ends[i + length - 1]) - lo))
+            if hit and not spans:
+                batch = batch.filter(pa.array([k not in hit for k in range(batch.num_rows)]))
+            elif hit:
+                out = text.to_pylist()
+                for k, cuts in hit.items():
+                    raw, end, parts = out[k].encode(), 0, []
+                    for a, b in sorted(cuts):
+                        if b > end:
+                            parts.append(raw[end : max(a, end)])
+                            end = b
+                    out[k] = b"".join([*parts, raw[end:]]).decode()
+                batch = batch.set_column(batch.num_columns - 1, batch.schema.field(batch.num_columns - 1), pa.array(out, text.type))
+            if batch.num_rows:
+                yield batch
+
+    return scan
+
+
+def _broadcast_windows(spark: SparkSession, benchmark: DataFrame, size: int, part_bytes: int) -> list:
+    """The benchmark's windows as broadcasts: one if its bytes fit part_bytes, else one for each part of the items."""
+    known = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-2 * total // part_bytes)) if total > part_bytes else 1
+    out = []
+    for k in range(parts):
+        mine = known if parts == 1 else known.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
+        out.append(spark.sparkContext.broadcast(Windows([(r[0], r[1]) for r in mine.toLocalIterator()], size)))
+    return out
+
+
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, size: int = 10, part_bytes: int = PART_BYTES) -> DataFrame:
-    """doc_id, n_words, spans (merged word ranges [start, end) that occur in the benchmark), items (their item ids as strings).
+    """doc_id, n_words, spans (merged word ranges [start, end) that occur in the benchmark), items (their item ids as strings)
+    for each row of docs (doc_id, text).
 
     Words are runs of ASCII letters, digits and characters beyond ASCII, A-Z lower-cased; a window is `size` consecutive
     words of an item, or all words of a shorter one. A null or empty text has no words, an item without words no window, an
-    empty benchmark hits nothing. The benchmark is test data, small beside the corpus; its bytes are summed first, and beyond
-    `part_bytes` raise an error asking for parts (each part is one more scan; union the spans).
+    empty benchmark hits nothing. The benchmark's bytes are summed first; beyond `part_bytes` it is scanned for in parts, each
+    no larger, and rows equal in doc_id and text then come out as one.
     """
-    known = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), "text")
-    total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if total > part_bytes:
-        raise ValueError(f"the benchmark has {total} bytes, more than part_bytes={part_bytes}; scan it in parts")
-    windows = spark.sparkContext.broadcast(Windows([(r[0], r[1]) for r in known.toLocalIterator()], size))
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, spans array<array<long>>, items array<string>"
-    return docs.select("doc_id", "text").mapInArrow(_scanner(windows), schema)
+    rows, known = docs.select("doc_id", "text"), _broadcast_windows(spark, benchmark, size, part_bytes)
+    if len(known) == 1:
+        return rows.mapInArrow(_scanner(known[0]), schema)
+    keyed = rows.select(F.struct("doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n")).alias("doc_id"), "text")
+    schema = schema.replace(f"doc_id {dict(docs.dtypes)['doc_id']}", f"doc_id {dict(keyed.dtypes)['doc_id']}")
+    found = [keyed.mapInArrow(_scanner(w), schema) for w in known]
+    every = found[0]
+    for x in found[1:]:
+        every = every.unionByName(x)
+    every = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    joined = lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, F.greatest(F.size(acc), F.lit(1)))[1] >= s[0]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.array(F.get(acc, F.size(acc) - 1)[0], F.greatest(F.get(acc, F.size(acc) - 1)[1], s[1]))))).otherwise(F.concat(acc, F.array(s)))
+    return every.select("doc_id.doc_id", "n_words", F.aggregate("spans", F.array().cast("array<array<long>>"), joined).alias("spans"), "items")
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, size: int = 10, spans: bool = False, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The rows of docs, all columns, without those that hold a benchmark window; with `spans`, all rows without the hit words.
+    Rows pass through as Arrow batches, so nothing is shuffled or joined."""
+    rest = [c for c in docs.columns if c != "text"]
+    out = docs.select(*rest, "text")
+    for w in _broadcast_windows(spark, benchmark, size, part_bytes):
+        out = out.mapInArrow(_filter(w, spans), out.schema)
+    return out.select(*docs.columns)
 
 
 def items_sha256(items: list[str]) -> str:

@@ -72,8 +72,8 @@ def newton(spark: SparkSession, cells: DataFrame, targets: DataFrame, ws: Worksp
     return lam.select("group", "multiplier")
 
 
-def mix(spark: SparkSession, docs: DataFrame, *, weights: list[float] = (3.0, 1.0, 2.0), share: float = 1.5, most: int = 2, seed: int = 11) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies, taken: one row for each row of docs (doc_id, text, source).
+def mix(spark: SparkSession, docs: DataFrame, *, weights: list[float] = (3.0, 1.0, 2.0), share: float = 1.5, most: int = 2, seed: int = 11, keep_hash: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, rate, copies, taken (keep_hash: and text_hash): one row for each row of docs (doc_id, text, source).
 
     size counts words (null text: 0); null is a source of its own. taken = copies * size with 0 <= copies <= most. Extra copies
     go to documents in hash order until the source's share is met, the last of them being the document that comes closest;
@@ -81,7 +81,7 @@ def mix(spark: SparkSession, docs: DataFrame, *, weights: list[float] = (3.0, 1.
     without words has rate 0 and no copies. An empty table gives no rows. Other columns of docs are not read.
     """
     ws = Workspace(spark, "mix")
-    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
     sizes = ws.stage(sizes.withColumn("row", F.monotonically_increasing_id()), "sizes")
     targets = source_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), list(weights), share, most)
     targets = ws.stage(targets.withColumn("group", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source"))), "targets")
@@ -112,14 +112,14 @@ def mix(spark: SparkSession, docs: DataFrame, *, weights: list[float] = (3.0, 1.
     ends = inside.groupBy("source").agg(F.min_by("n", F.struct(F.abs(F.col("upto") - F.col("room")), F.col("n"))).alias("n"), F.min(F.abs(F.col("upto") - F.col("room"))).alias("off"), F.first("room").alias("room"))
     ends = ends.select(F.col("source").alias("s"), F.when(F.col("off") < F.col("room"), F.col("n")).otherwise(0).alias("last"))
     inside = inside.join(checked_broadcast(ws.stage(ends, "ends"), 32, n), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    keep = ["row", "doc_id", "source", "size", "source_size", "target", "rate", "base", "extra"]
+    keep = ["row", "doc_id", "text_hash", "source", "size", "source_size", "target", "rate", "base", "extra"]
     outside = d.where("bucket <> cut or cut is null").withColumn("more", ((F.col("extra") > 0) & (F.col("cut").isNull() | (F.col("bucket") < F.col("cut")))).cast("int"))
     both = outside.select(*keep, "more").unionByName(inside.select(*keep, (F.col("n") <= F.col("last")).cast("int").alias("more")))
     for _ in range(2):
         both = ws.stage(both, "given")
         both = _nearer(both, ws, n)
     copies = F.when(F.col("size") > 0, F.least(F.col("base") + F.col("more"), F.lit(most))).otherwise(0).cast("long")
-    return both.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("row", "base", "extra", "more")
+    return both.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("row", "base", "extra", "more", *[] if keep_hash else ["text_hash"])
 
 
 def _nearer(given: DataFrame, ws: Workspace, sources: int) -> DataFrame:
@@ -132,3 +132,20 @@ def _nearer(given: DataFrame, ws: Workspace, sources: int) -> DataFrame:
     best = best.groupBy("source").agg(F.min_by("row", F.struct(after, F.col("doc_id"), F.col("row"))).alias("r"))
     best = checked_broadcast(ws.stage(best.select("r"), "changed"), 16, sources)
     return given.join(best, given["row"] == best["r"], "left").withColumn("more", F.when(F.col("r").isNull(), F.col("more")).otherwise(1 - F.col("more"))).drop("r")
+
+
+def mixed(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, all columns, each as often as `mix` copies it. Rows equal in doc_id, text and source share their copies."""
+    ws = Workspace(spark, "mixed")
+    copies = mix(spark, docs, keep_hash=True, **options).groupBy("doc_id", "text_hash", "source").agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("n"))
+    copies = ws.stage(copies.where("c > 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("source").alias("__source"), "c", "n").withColumnsRenamed({"c": "__c", "n": "__n"}), "copies")
+    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")) & docs["source"].eqNullSafe(F.col("__source"))
+    d = docs.join(checked_broadcast(copies, 64), same)
+    many = copies.where("__n > 1").limit(1).count()
+    times = F.col("__c")
+    if many:
+        place = F.row_number().over(Window.partitionBy("__id", "__hash", "__source").orderBy("__c"))
+        d = d.withColumn("__place", F.when(F.col("__n") > 1, place).otherwise(1))
+        times = F.floor(F.col("__c") / F.col("__n")) + (F.col("__place") <= F.col("__c") % F.col("__n")).cast("int")
+        times = F.when(F.col("__n") > 1, times).otherwise(F.col("__c"))
+    return d.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*(docs[c] for c in docs.columns))

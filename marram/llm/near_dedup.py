@@ -208,3 +208,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, size: int = 5, perc
     out = signed.select("doc_id", "n", "fp").join(checked_broadcast(classes, 64), "fp", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, all columns, that `near_duplicates` keeps: one of each class; of rows equal in doc_id and text, one."""
+    ws = Workspace(spark, "deduplicated")
+    dropped = near_duplicates(spark, docs, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__id")).distinct()
+    dropped = checked_broadcast(ws.stage(dropped, "dropped"), 16)
+    left = docs.join(dropped, docs["doc_id"].cast("long") == dropped["__id"], "left_anti")
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").limit(1).count()
+    if not again:
+        return left
+    return left.where("doc_id is null").unionByName(left.where("doc_id is not null").dropDuplicates(["doc_id", "text"]))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, checked_broadcast
 
 #: Names of the statistics that rules may test, beside the base counts.
 FEATURES = ["n_words", "mean_word", "symbols", "dup_lines", "repeats", "capitals", "punctuation", "distinct", "digits", "short_words", "n_lines"]
@@ -45,7 +45,7 @@ def _repeat_words(h: Column, size: int) -> Column:
 
 
 def text_statistics(docs: DataFrame, *, window: int = 5) -> DataFrame:
-    """doc_id, the base counts (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words: long) and FEATURES (double).
+    """doc_id, text_hash, the base counts (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words: long) and FEATURES (double).
 
     Words are runs of other than blanks in the whole text; null has none, and all counts are 0 then. Windows are compared by
     64-bit hashes within one text.
@@ -54,11 +54,12 @@ def text_statistics(docs: DataFrame, *, window: int = 5) -> DataFrame:
     trimmed = F.regexp_replace(text, f"^[{BLANK}]+|[{BLANK}]+$", "")
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{BLANK}]+"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{BLANK}]"))
-    d = docs.select("doc_id", text.alias("t"), words.alias("w"), lines.alias("l"))
+    d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text.alias("t"), words.alias("w"), lines.alias("l"))
     n = F.size("w").cast("long")
     part = lambda x: F.when(n > 0, x / n).otherwise(0.0)
     counted = d.select(
         "doc_id",
+        "text_hash",
         n.alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -72,7 +73,7 @@ def text_statistics(docs: DataFrame, *, window: int = 5) -> DataFrame:
     )
     part = lambda x: F.when(F.col("n_words") > 0, x / F.col("n_words")).otherwise(0.0)
     return counted.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.col("h.repeat").alias("n_repeat_words"),
+        "doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.col("h.repeat").alias("n_repeat_words"),
         part(F.col("word_chars")).alias("mean_word"), part(F.col("n_symbols")).alias("symbols"),
         F.when(F.col("n_lines") > 0, F.col("n_dup_lines") / F.col("n_lines")).otherwise(0.0).alias("dup_lines"),
         part(F.col("h.repeat")).alias("repeats"), "capitals", "punctuation", part(F.col("h.distinct")).alias("distinct"), "digits", "short_words", "n_lines",
@@ -192,6 +193,16 @@ def learn_rules(spark: SparkSession, stats: DataFrame, labels: DataFrame, ws: Wo
     return [tuple(real(*c) for c in r) for r in rules]
 
 
+def passing(spark: SparkSession, docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of docs, all columns, that `quality` keeps. Rejected rows are told by doc_id and a hash of their text."""
+    ws = Workspace(spark, "passing")
+    key = F.xxhash64("text")
+    rated, _ = quality(spark, docs, labels, ws, **options)
+    rejected = ws.stage(rated.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "rejected")
+    small = checked_broadcast(rejected, 24)
+    return docs.join(small, docs["doc_id"].eqNullSafe(small["__id"]) & (key == small["__hash"]), "left_anti")
+
+
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, ws: Workspace | None = None, **options) -> tuple[DataFrame, list[Rule]]:
     """(doc_id, base counts, features, base_failed, kept) for each row of docs, and the rules learned from labels.
 

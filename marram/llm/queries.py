@@ -75,8 +75,14 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_rules, op2_pii, op3_mixing, op4_suffix_dedup, op5_minhash_near_dedup, op6_license_scan, op7_warc, op8_decontamination, op9_secrets, op10_token_output)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_pii, op3_mixing, op4_suffix_dedup, op5_minhash_near_dedup, op6_license_scan, op7_warc, op8_decontamination, op9_secrets, op10_token_output, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

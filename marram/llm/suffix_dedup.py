@@ -137,17 +137,17 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, *, least: int = LEAS
     settled = live.join(alike.where("n > 1").select("key", "all", "first"), ["key", "all"])
     later = (F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.p") != F.col("p"))
     spans = settled.select("doc_id", F.col("a").alias("s"), (F.col("b") + least).alias("e"), later.alias("later"))
-    # what agrees only in part: suffixes alone in all their windows, against one of each set of others with that key
-    mixed = alike.groupBy("key").agg(F.max(F.col("n") == 1).alias("open"), F.count(F.lit(1)).alias("m")).where("open and m > 1").select("key")
+    # what agrees only in part: one of each set of suffixes alike, against those of other sets with that key
+    mixed = alike.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
     parts = alike.join(mixed, "key", "left_semi").select("first.*", (F.col("n") == 1).alias("open"))
     wanted = ws.stage(parts.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b", "open")).alias("ranges")), "ranges")  # at most one for each word of the text
     texts = rows.join(wanted, "doc_id").select("doc_id", "text", "ranges")
     windows = ws.stage(texts.mapInArrow(_windows(least), "w long, doc_id long, s int, open boolean"), "windows")
     twice = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "s")).alias("first")).where("n > 1")
     twice = ws.stage(twice.select("w", "first"), "repeated")
-    part = windows.where("open").join(checked_broadcast(twice, 40), "w")
+    part = windows.join(checked_broadcast(twice, 40), "w")
     later = (F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.s") != F.col("s"))
-    spans = spans.unionByName(part.select("doc_id", "s", (F.col("s") + least).alias("e"), later.alias("later")))
+    spans = spans.unionByName(part.select("doc_id", "s", (F.col("s") + least).alias("e"), "open", later.alias("later")).where("open or later").drop("open"))
     by = spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("x"), F.sort_array(F.collect_set(F.when(F.col("later"), F.struct("s", "e")))).alias("y"))
     by = by.select("doc_id", _merged(F.col("x")).alias("spans"), _merged(F.col("y")).alias("later"))
     none = F.array().cast("array<struct<s:int,e:int>>")
