@@ -1 +1 @@
-"""Marram: plans."""
+"""Registered queries, by theme."""
