@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +29,8 @@ WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 MAGIC, END = 0x42385331, b"\nS8BEND\n"
 #: Ids of a block, at most.
 BLOCK_IDS = 1 << 16
-#: Words whose ids a worker remembers; then it starts afresh.
-CACHE_WORDS = 400_000
+#: Words (and word pieces) whose ids a worker remembers, in each of two generations.
+CACHE_WORDS = 300_000
 _HEAD = np.dtype([("magic", "<u4"), ("entries", "<u4"), ("ids", "<u4"), ("words", "<u4"), ("escapes", "<u4"), ("zero", "<u4"), ("start", "<u8")])
 _ENTRY = np.dtype([("doc_id", "<i8"), ("ids", "<u4"), ("flags", "<u4")])
 _ESCAPE = np.dtype([("at", "<u4"), ("zero", "<u4"), ("value", "<u8")])
@@ -121,52 +122,76 @@ def blocks(data: bytes) -> Iterator[tuple[np.void, np.ndarray, np.ndarray]]:
         yield head, entries, unpack(words, int(head["ids"]), escapes)
 
 
-class Encoder(dict):
+class Generations(dict):
+    """A cache of at most 2 * most entries: when the young ones are `most`, they become the old ones; used old ones return."""
+
+    def __init__(self, most: int):
+        self.most, self.old = most, {}
+
+    def make(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class Pieces(Generations):
+    """Ids of a pre-token (lower-case Latin letters, or ASCII signs) by the tokenizer's model, as little-endian 32-bit words."""
+
+    def __init__(self, tokenizer, most: int):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        super().__init__(most)
+        self.tokenize = tokenizer.model.tokenize
+        bytewise = ByteLevel(add_prefix_space=False, use_regex=False)
+        # the model sees each byte as a character; those of these letters' bytes that Latin-1 shows otherwise
+        self.odd = [(chr(b), bytewise.pre_tokenize_str(chr(b + 0x40))[0][0][1]) for b in (*range(0x9F, 0xA1), 0xAD)]
+
+    def make(self, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1")
+            for a, b in self.odd:
+                piece = piece.replace(a, b)
+        return array("I", [t.id for t in self.tokenize(piece)]).tobytes()
+
+
+class Encoder(Generations):
     """Ids of blank-free runs of a text as little-endian 32-bit words, by run. No token of a tokenizer that drops blanks
-    crosses one, so a text's ids are those of its runs in turn. Plain Latin letters go straight to the model; other runs
-    take the whole of the tokenizer."""
+    crosses one, so a text's ids are those of its runs in turn. Plain runs (Latin letters and ASCII signs) are cut into the
+    tokenizer's own pre-tokens and these go straight to its model; other runs take the whole of the tokenizer."""
 
-    plain = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+    plain = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\[-`{-~]+)+")
+    pieces = re.compile(r"[a-zß-öø-ÿ]+|[^a-zß-öø-ÿ]+")
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        letters = [chr(c) for c in range(0xDF, 0x100)]
-        bytewise = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.bytewise = str.maketrans({c: bytewise.pre_tokenize_str(c)[0][0] for c in letters})
-        self.short = self._is_plain()
-
-    def _is_plain(self) -> bool:
-        """Whether this tokenizer lower-cases, drops blanks and splits letters from signs; else every run is encoded whole."""
-        for s in ("Añb., Ça", "être!? ÀB"):
-            whole = self.tokenizer.encode(s, add_special_tokens=False).ids
-            if whole != [i for run in s.split() for i in self._plain(run)] or whole != self.tokenizer.encode(s.lower().replace(" ", "\n "), add_special_tokens=False).ids:
-                return False
-        return True
-
-    def _plain(self, run: str) -> list[int] | None:
-        m = self.plain.fullmatch(run)
-        if m is None:
-            return None
-        out = [t.id for t in self.tokenizer.model.tokenize(m[1].lower().translate(self.bytewise))]
-        return out + [t.id for t in self.tokenizer.model.tokenize(m[2])] if m[2] else out
-
-    def __missing__(self, run: bytes) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        s = run.decode()
-        ids = self._plain(s) if self.short and len(s) < 200 else None
-        if ids is None:
-            ids = self.tokenizer.encode(s, add_special_tokens=False).ids
-        out = np.array(ids, "<u4").tobytes()
-        if len(run) < 64:
-            self[run] = out
-        return out
+        super().__init__(most)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.piece = Pieces(self.tokenizer, most * 3 // 2)
+        self.short = all(self._plain(s) == self._whole(s) for s in ("Añb.,Ça(ß)x", "être!?ÀB", "x***$%,íÍ")) and self._whole("Ab cD") == self._whole("\n ab \tcd ") == self._plain("ab") + self._plain("cd")
+
+    def _whole(self, run: str) -> bytes:
+        return array("I", self.tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
+
+    def _plain(self, run: str) -> bytes:
+        return b"".join([self.piece[p] for p in self.pieces.findall(run.lower())])
+
+    def make(self, key: bytes) -> bytes:
+        s = key.decode()
+        if self.short and len(s) < 200 and "<|" not in s and self.plain.fullmatch(s):
+            return self._plain(s)
+        return self._whole(s)
 
     def ids(self, text: bytes) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.__getitem__, text.split())), "<u4")
