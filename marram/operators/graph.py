@@ -5,24 +5,10 @@ Iterations write their frontier or ranks through a reliable checkpoint, so linea
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def _cut(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """df, written to the shared checkpoint folder and read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), "marram-shared")
-        spark.conf.set("spark.checkpoint.dir", base)
-    import uuid
-
-    path = f"{base.rstrip('/')}/marram/graph/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from marram.storage import cut
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -41,11 +27,11 @@ def bfs(spark: SparkSession, edges: DataFrame, start: DataFrame, *, depth: int =
     """(node, depth) reachable from start (node), start left out: a join and an anti join for each level, until none is new."""
     step = {"downstream": edges.select("src", "dst"), "upstream": edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))}
     step = step[direction] if direction in step else step["downstream"].unionByName(step["upstream"])
-    seen = _cut(spark, start.select("node", F.lit(0).cast("long").alias("depth")).distinct())
+    seen = cut(start.select("node", F.lit(0).cast("long").alias("depth")).distinct())
     frontier = seen
     for level in range(1, depth + 1):
         new = step.join(frontier.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        new = _cut(spark, new.join(seen, "node", "left_anti").withColumn("depth", F.lit(level).cast("long")))
+        new = cut(new.join(seen, "node", "left_anti").withColumn("depth", F.lit(level).cast("long")))
         if new.isEmpty():
             break
         seen, frontier = seen.unionByName(new), new
@@ -60,9 +46,9 @@ def reverse_index(edges: DataFrame) -> DataFrame:
 def pagerank(spark: SparkSession, edges: DataFrame, *, rounds: int = 20, damping: float = 0.85, every: int = 6) -> DataFrame:
     """(node, rank): duplicate edges count; ranks of nodes without an edge out are spread over all."""
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
-    links = _cut(spark, edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")).join(out, "src").select("src", "dst", (F.col("m") / F.col("n")).alias("w")))
+    links = cut(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("m")).join(out, "src").select("src", "dst", (F.col("m") / F.col("n")).alias("w")))
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    nodes = _cut(spark, nodes.join(out.select(F.col("src").alias("node"), F.lit(True).alias("leads")), "node", "left"))
+    nodes = cut(nodes.join(out.select(F.col("src").alias("node"), F.lit(True).alias("leads")), "node", "left"))
     total = nodes.count()
     ranks = nodes.select("node", "leads", F.lit(1.0 / total).alias("rank"))
     for k in range(rounds):
@@ -71,18 +57,18 @@ def pagerank(spark: SparkSession, edges: DataFrame, *, rounds: int = 20, damping
         ranks = nodes.join(given, "node", "left").crossJoin(F.broadcast(loose))  # one row
         ranks = ranks.select("node", "leads", ((1 - damping) / total + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / total)).alias("rank"))
         if (k + 1) % every == 0 and k + 1 < rounds:
-            ranks = _cut(spark, ranks)
+            ranks = cut(ranks)
     return ranks.select("node", "rank")
 
 
 def cyclic_nodes(spark: SparkSession, edges: DataFrame, *, most: int = 60) -> DataFrame:
     """(node) on or between cycles: nodes without an edge in or without one out are peeled off until none is left to peel."""
-    live = _cut(spark, edges.select("src", "dst").where("src <> dst").distinct())
+    live = cut(edges.select("src", "dst").where("src <> dst").distinct())
     loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
     n = live.count()
     for _ in range(most):
         ends = live.select(F.col("src").alias("node")).intersect(live.select(F.col("dst").alias("node")))
-        live = _cut(spark, live.join(ends.select(F.col("node").alias("src")), "src", "left_semi").join(ends.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
+        live = cut(live.join(ends.select(F.col("node").alias("src")), "src", "left_semi").join(ends.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
         m = live.count()
         if m == n:
             break
