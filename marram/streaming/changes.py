@@ -50,10 +50,11 @@ def pace(n: int, pause: float) -> float:
 
 def read_changes(spark: SparkSession, path: str, schema, *, files: int = 100) -> DataFrame:
     """Event files as a stream of changes, with a watermark."""
-    return from_events(spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)).withWatermark("ts", LATE)
+    changes = from_events(spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path))
+    return changes.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATE)
 
 
-def keep_state(changes: DataFrame, target: str, checkpoint: str, ws: str) -> StreamingQuery:
+def keep_state(changes: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Folds each batch into a latest-state table: batch n reads state n - 1 and writes state n under `target`, so a retried batch
     writes the same folder again and a reader takes the highest complete one."""
 
