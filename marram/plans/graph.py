@@ -129,7 +129,7 @@ def ghost_interface(spark, sf):
     return G.ghost_methods(c).withColumn("awaited", F.round("awaited", 6))
 
 
-@query(f"with {EDGES}, y as (select s_suppkey as symbol, s_nationkey as path from supplier), s as (select symbol as seed, path from y where symbol % 10 = 0), d as (select distinct seed, 'colocated' as relation, y.symbol from s join y using (path) where y.symbol <> seed union select seed, 'caller', src from s join e on e.dst = seed union select seed, 'callee', dst from s join e on e.src = seed), r as (select *, row_number() over (partition by seed, relation order by symbol) as place from d) select * from r where place <= case when relation = 'colocated' then 10 else 15 end")
+@query(f"with {EDGES}, y as (select s_suppkey as symbol, s_nationkey as path from supplier), s as (select symbol as seed, path from y), d as (select distinct seed, 'colocated' as relation, y.symbol from s join y using (path) where y.symbol <> seed union select seed, 'caller', src from s join e on e.dst = seed union select seed, 'callee', dst from s join e on e.src = seed), r as (select *, row_number() over (partition by seed, relation order by symbol) as place from d) select * from r where place <= case when relation = 'colocated' then 10 else 15 end")
 def cluster_relations(spark, sf):
     y = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("symbol"), F.col("s_nationkey").alias("path"))
-    return G.clusters(y, edges(spark, sf), y.where("symbol % 10 = 0").select(F.col("symbol").alias("seed")))
+    return G.clusters(y, edges(spark, sf), y.select(F.col("symbol").alias("seed")))
