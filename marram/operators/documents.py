@@ -220,3 +220,23 @@ def merged_ranges(ranges: DataFrame, by: list[str], start: str, end: str, gap: i
     d = ranges.withColumn("__m", F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     d = d.withColumn("__new", F.when(F.col("__m").isNull() | (F.col(start) > F.col("__m") + gap), 1).otherwise(0)).withColumn("__g", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return d.groupBy(*by, "__g").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__g")
+
+
+def structural_segments(numbered: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id, segment, kind, start_line, end_line): runs of lines of a kind: fence (with its marks), table, list, text; blank lines part
+    text and end lists and tables. Windows by document only, so a segment never leaves it."""
+    w = Window.partitionBy(id_col).orderBy("line")
+    mark = F.trim("text").startswith("```")
+    d = numbered.withColumn("__m", F.sum(mark.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    kind = (
+        F.when(mark | (F.col("__m") % 2 == 1), "fence")
+        .when(F.trim("text") == "", "blank")
+        .when(F.contains("text", F.lit("|")), "table")
+        .when(F.col("text").rlike(r"^\s*([-*+]|[0-9]+[.)])\s"), "list")
+        .otherwise("text")
+    )
+    # the two marks of a fence share a number: an opening one begins a segment, what follows the closing one the next
+    d = d.withColumn("kind", kind).withColumn("__k", F.concat("kind", F.when(F.col("kind") == "fence", F.floor((F.col("__m") + 1) / 2).cast("string")).otherwise("")))
+    d = d.withColumn("__new", F.when(F.lag("__k").over(w).eqNullSafe(F.col("__k")), 0).otherwise(1))
+    d = d.withColumn("segment", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("kind <> 'blank'")
+    return d.groupBy(id_col, "segment", "kind").agg(F.min("line").alias("start_line"), F.max("line").alias("end_line"))

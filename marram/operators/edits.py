@@ -208,3 +208,23 @@ def history(log: DataFrame, most: int = 50) -> DataFrame:
     least = F.coalesce(F.min("__u").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     stands = d.withColumn("__l", least).where((F.col("action") == "do") & (F.col("__u") < F.least(F.col("__l"), F.lit(0))))
     return stands.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= most).select("path", "seq", "place")
+
+
+def unambiguous(matches: DataFrame, *, least: float = 0.85, gap: float = 0.15) -> DataFrame:
+    """The best match (edit, place, confidence) of each edit, where it is sure and well ahead of the next."""
+    w = Window.partitionBy("edit").orderBy(F.desc("confidence"), "place")
+    d = matches.withColumn("__n", F.row_number().over(w)).withColumn("__next", F.lead("confidence").over(w)).where("__n = 1")
+    return d.where((F.col("confidence") >= least) & (F.col("__next").isNull() | (F.col("confidence") - F.col("__next") >= gap))).drop("__n", "__next")
+
+
+def escape_variants(target: str) -> list[str]:
+    """The target as it is, with its escapes decoded, and with its control characters escaped; without repeats."""
+    decoded = target.replace("\\n", "\n").replace("\\t", "\t").replace('\\"', '"')
+    encoded = target.replace("\n", "\\n").replace("\t", "\\t")
+    return list(dict.fromkeys([target, decoded, encoded]))
+
+
+def insert_at(text: Column, line: int, added: str) -> Column:
+    """text with `added` as line `line` (from 1; one past the last appends)."""
+    ls = F.split(text, "\n")
+    return F.array_join(F.concat(F.slice(ls, F.lit(1), F.lit(line - 1)), F.array(F.lit(added)), F.slice(ls, F.lit(line), F.greatest(F.size(ls) - line + 1, F.lit(0)))), "\n")

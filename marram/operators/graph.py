@@ -162,3 +162,19 @@ def clusters(symbols: DataFrame, edges: DataFrame, seeds: DataFrame, *, colocate
     d = same.unionByName(callers).unionByName(callees).distinct()
     d = d.withColumn("place", F.row_number().over(Window.partitionBy("seed", "relation").orderBy("symbol")).cast("long"))
     return d.where(F.col("place") <= F.when(F.col("relation") == "colocated", colocated).otherwise(linked))
+
+
+def rank_delta(spark: SparkSession, scoped: DataFrame, whole: DataFrame, *, rounds: int = 12) -> DataFrame:
+    """(node, delta): a node's rank in the scoped graph less that in the whole one, to six decimals."""
+    a = pagerank(spark, scoped, rounds=rounds).withColumnRenamed("rank", "__a")
+    b = pagerank(spark, whole, rounds=rounds).withColumnRenamed("rank", "__b")
+    return a.join(b, "node", "left").select("node", F.round(F.col("__a") - F.coalesce("__b", F.lit(0.0)), 6).alias("delta"))
+
+
+def mermaid(nodes: DataFrame, edges: DataFrame, *, most_nodes: int = 12, most_edges: int = 30) -> str:
+    """A flow chart of the nodes of highest rank and the edges between them."""
+    names = [r["node"] for r in nodes.orderBy(F.desc("rank"), "node").limit(most_nodes).collect()]
+    at = {n: f"n{i}" for i, n in enumerate(names)}
+    inside = edges.where(F.col("src").isin(names) & F.col("dst").isin(names)).select("src", "dst").distinct().orderBy("src", "dst").limit(most_edges)
+    lines = [f'  {at[n]}["{n}"]' for n in names] + [f"  {at[r['src']]} --> {at[r['dst']]}" for r in inside.collect()]
+    return "\n".join(["graph TD", *lines])
