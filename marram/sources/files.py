@@ -16,7 +16,7 @@ from marram.functions import text as T
 # Extensions that are searched, that are documents, names that are text, and the language of each extension.
 SEARCHED = ".ts .tsx .js .jsx .mjs .cjs .py .go .java .cs .rs .rb .php .kt .swift .scala .json .yaml .yml .toml .md .txt .log .css .scss .less .html .astro".split()
 DOCUMENTS = ".md .mdx .txt .log .html .htm .css .docx .xlsx .pdf .csv .json .ndjson".split()
-TEXT_NAMES = ["README", "LICENSE", "NOTICE", "CHANGELOG", "CODEOWNERS", ".gitignore", ".mcpignore", ".editorconfig"]
+TEXT_NAMES = ["README", "LICENSE", "NOTICE", "CHANGELOG", "CODEOWNERS", ".gitignore", ".editorconfig"]
 SYMBOL_EXTENSIONS = ".ts .tsx .js .jsx .py".split()
 LANGUAGES = {
     ".ts": "typescript", ".mts": "typescript", ".cts": "typescript", ".tsx": "tsx", ".js": "tsx", ".jsx": "tsx", ".mjs": "tsx", ".cjs": "tsx", ".py": "python", ".go": "go",
