@@ -1,7 +1,8 @@
-"""Licence scans (operator 6): lines and paragraphs against licence templates, by the Dice coefficient over word bigrams.
+"""Licence scans (operator 6): windows of words against licence templates, by the Dice coefficient over word bigrams.
 
-All in built-in functions. A template's size bounds say which units can reach the threshold at all; before that, a document is
-looked at only if it holds an anchor: words are taken from each template until the bigrams without one are too few to reach it.
+All in built-in functions. A window that can't be bettered by cutting its ends begins and ends with a bigram of the template, so
+only those are compared; before that, a document is looked at only if it holds an anchor: words are taken from each template until
+the bigrams without one are too few to reach the threshold.
 """
 
 from __future__ import annotations
@@ -38,6 +39,19 @@ TEMPLATES = {
     "Apache-2.0-text": """Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.""",
 }
 
+# Headers and passages of licence texts, after the notices in order of preference.
+HEADERS = {
+    "Apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0""",
+    "GPL-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    "GPL-2.0-header": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.""",
+    "LGPL-2.1-header": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.""",
+    "AGPL-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    "MPL-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "BSD-3-Clause-text": """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.""",
+    "Zlib-text": """Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:""",
+    "Unlicense-text": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+}
+
 
 def template_bigrams(text: str) -> list[str]:
     w = re.findall("[a-z0-9]+", text.lower())
@@ -68,40 +82,53 @@ def anchors(templates: dict[str, str], threshold: float) -> tuple[list[str], lis
     return words, pairs
 
 
-def _dice(unit: Column, templates: dict[str, str], threshold: float) -> Column:
-    """The best (dice, place of the template, size) of a unit's bigrams, or null."""
-    found = []
-    for place, text in enumerate(templates.values()):
-        b = template_bigrams(text)
-        low, high = bounds(len(b), threshold)
-        dice = 2.0 * F.size(F.array_intersect(unit, F.array(*map(F.lit, b)))) / (F.size(unit) + len(b))
-        found.append(F.when(F.size(unit).between(low, high), F.when(dice >= threshold, F.struct(dice.alias("dice"), F.lit(-place).alias("place")))))
-    return F.greatest(*found) if len(found) > 1 else found[0]
+def _let(x: Column, f) -> Column:
+    return F.transform(F.array(x), f)[0]
+
+
+def _windows(big: Column, hits: Column, place: int, text: str, threshold: float) -> Column:
+    """For each of the hits (p, b), places of template bigrams, that a match begins with: its best window (dice, place, start, end),
+    the last three negated, so that the greatest is the best, the first and the shortest."""
+    b = template_bigrams(text)
+    low = max(1, bounds(len(b), threshold)[0])
+    most = bounds(max(1, len(re.findall("[a-z0-9]+", text.lower())) - 1), threshold)[1]
+    mine = F.filter(hits, lambda h: h["b"].isin(b))
+
+    def best(m: Column, h: Column, i: Column) -> Column:
+        ends = F.filter(F.slice(m, i + low, F.lit(most - low + 1)), lambda e: e["p"] < h["p"] + most)
+        dice = lambda g: 2.0 * F.size(F.array_intersect(g, F.array(*map(F.lit, b)))) / (F.size(g) + len(b))
+        grams = lambda e: F.array_distinct(F.slice(big, h["p"] + 1, e["p"] - h["p"] + 1))
+        found = F.transform(ends, lambda e: F.struct(_let(grams(e), dice).alias("dice"), F.lit(-place).alias("place"), (-h["p"]).alias("start"), (-e["p"]).alias("end")))
+        return F.array_max(F.filter(found, lambda s: s["dice"] >= threshold))
+
+    return _let(mine, lambda m: F.filter(F.transform(m, lambda h, i: best(m, h, i)), lambda s: s.isNotNull()))
 
 
-def licenses(docs: DataFrame, *, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_notices (units that match a template), licenses (their ids, sorted, distinct, comma-joined), best and best_dice
+def licenses(docs: DataFrame, *, templates: dict[str, str] = TEMPLATES | HEADERS, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, n_notices (windows that match a template), licenses (their ids, sorted, distinct, comma-joined), best and best_dice
     for each row of docs (doc_id, text).
 
-    Units are the lines of the whole text and, where blank lines part it, its paragraphs of several lines; case and everything
-    but ASCII letters and digits are ignored. Each unit counts for its best template (the first listed among equals). A document
-    without a match, null and empty texts included, has 0, '', null and null.
+    Windows are runs of words of the whole text, across lines and within them; case and everything but ASCII letters and digits are
+    ignored. At a threshold t a window has at most (2 - t) / t times as many bigrams, repeats included, as the template. Of the
+    windows that match, the best are taken (by dice, then the template listed first, then the place) that share no word with one
+    taken before. A document without a match, null and empty texts included, has 0, '', null and null.
     """
     ids = list(templates)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    low = F.lower(text)
+    low = F.lower(F.coalesce(F.col("text"), F.lit("")))
     whole, pairs = anchors(templates, threshold)
     tests = [F.contains(low, F.lit(a)) for a in whole]
     tests += [low.rlike("|".join(p.replace(" ", "[^a-z0-9]+") for p in pairs))] if pairs else []
     candidate = reduce(or_, tests)
-    paragraphs = F.filter(F.split(text, "\n[ \\t\\r]*\n"), lambda p: F.contains(p, F.lit("\n")))
-    units = F.concat(F.split(text, "\n"), F.when(text.rlike("\n[ \\t\\r]*\n"), paragraphs).otherwise(F.array().cast("array<string>")))
-    words = lambda u: F.filter(F.split(F.lower(u), "[^a-z0-9]+"), lambda w: w != "")
-    grams = lambda w: F.array_distinct(F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1))))
-    bigrams = lambda u: F.transform(F.array(words(u)), grams)[0]
-    match = F.transform(units, lambda u: F.transform(F.array(bigrams(u)), lambda b: _dice(b, templates, threshold))[0])
-    found = F.when(candidate, F.filter(match, lambda m: m.isNotNull()))
-    named = docs.select("doc_id", F.coalesce(found, F.array().cast("array<struct<dice:double,place:int>>")).alias("m"))
+    known = sorted({b for t in templates.values() for b in template_bigrams(t)})
+    bigrams = lambda w: F.transform(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1)))
+    hits = lambda big: F.filter(F.transform(big, lambda b, i: F.struct(i.alias("p"), b.alias("b"))), lambda h: h["b"].isin(known))
+    every = lambda big, h: F.concat(*(_windows(big, h, place, text, threshold) for place, text in enumerate(templates.values())))
+    words = F.filter(F.split(low, "[^a-z0-9]+"), lambda w: w != "")
+    match = _let(words, lambda w: _let(bigrams(w), lambda big: _let(hits(big), lambda h: every(big, h))))
+    none = F.array().cast("array<struct<dice:double,place:int,start:int,end:int>>")
+    apart = lambda x, y: (x["end"] - 1 > y["start"]) | (y["end"] - 1 > x["start"])
+    taken = lambda m: F.aggregate(F.sort_array(m, asc=False), none, lambda acc, x: F.when(F.forall(acc, lambda y: apart(x, y)), F.concat(acc, F.array(x))).otherwise(acc))
+    named = docs.select("doc_id", F.coalesce(F.when(candidate, taken(match)), none).alias("m"))
     name = lambda m: F.element_at(F.array(*map(F.lit, ids)), 1 - m["place"])
     best = F.array_max("m")
     return named.select(

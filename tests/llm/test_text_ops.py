@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -142,6 +143,19 @@ def test_licenses(spark):
         assert len(left) < license_scan.bounds(len(b), 0.8)[0]
 
 
+def test_licenses_within_and_across_lines(spark):
+    mit, gpl = license_scan.TEMPLATES["MIT-text"], license_scan.HEADERS["GPL-2.0-header"]
+    rows = [
+        (44, "intro\n" + textwrap.fill(mit, 78) + "\nmore"),
+        (45, "lorem ipsum dolor sit amet, consectetur. Released under the MIT License. Sed do eiusmod tempor incididunt ut labore"),
+        (46, "This work is licensed under the GNU General Public\nLicense, version 2. And again:\nthis work is licensed under the GNU\nGeneral Public License, version 3."),
+        (47, "/*\n" + "\n".join(" * " + x for x in textwrap.wrap(gpl, 60)) + "\n */\nint main() { return 0; }"),
+        (48, "Released under the MIT License. Released under the MIT License.\nReleased under the BSD 3-Clause License"),
+    ]
+    got = {r["doc_id"]: (r["n_notices"], r["licenses"], r["best"], r["best_dice"]) for r in license_scan.licenses(frame(spark, rows)).collect()}
+    assert got == {44: (1, "MIT-text", "MIT-text", 1.0), 45: (1, "MIT", "MIT", 1.0), 46: (2, "GPL-2.0,GPL-3.0", "GPL-3.0", 1.0), 47: (1, "GPL-2.0-header", "GPL-2.0-header", 1.0), 48: (3, "BSD-3-Clause,MIT", "MIT", 1.0)}
+
+
 def test_decontamination(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     bench = spark.createDataFrame([(1, item), (2, "Short One"), (3, None), (4, "..."), (None, "zzz")], "item_id long, text string")
