@@ -29,8 +29,8 @@ def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
 class Windows:
     """The windows of benchmark items: for each length, sorted hashes, a bitmap before them, and the texts for confirmation."""
 
-    def __init__(self, items: list[tuple[str, str]], size: int):
-        self.of: dict[bytes, set[str]] = defaultdict(set)
+    def __init__(self, items: list[tuple[str | None, str]], size: int):
+        self.of: dict[bytes, set[str | None]] = defaultdict(set)
         hashes: dict[int, set[int]] = defaultdict(set)
         for item, text in items:
             raw = np.frombuffer(text.encode(), np.uint8)
@@ -86,7 +86,7 @@ def _scanner(windows):
                             merged.append([a, b])
                     out.append(merged)
                 count = [int(x) for x in np.diff(words.lo)]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, n), pa.array(count, pa.int64()), pa.array(out, pa.list_(pa.list_(pa.int64()))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
+                yield pa.RecordBatch.from_arrays([ids.slice(at, n), pa.array(count, pa.int64()), pa.array(out, pa.list_(pa.list_(pa.int64()))), pa.array([sorted(x, key=lambda s: (s is None, s or "")) for x in items], pa.list_(pa.string()))], names=["doc_id", "n_words", "spans", "items"])
 
     return scan
 
@@ -124,7 +124,7 @@ def _filter(windows, spans: bool):
 
 def _broadcast_windows(spark: SparkSession, benchmark: DataFrame, size: int, part_bytes: int) -> list:
     """The benchmark's windows as broadcasts: one if its bytes fit part_bytes, else one for each part of the items."""
-    known = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    known = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-2 * total // part_bytes)) if total > part_bytes else 1
     out = []
@@ -135,13 +135,13 @@ def _broadcast_windows(spark: SparkSession, benchmark: DataFrame, size: int, par
 
 
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, size: int = 10, part_bytes: int = PART_BYTES) -> DataFrame:
-    """doc_id, n_words, spans (merged word ranges [start, end) that occur in the benchmark), items (their item ids as strings)
-    for each row of docs (doc_id, text).
+    """doc_id, n_words, spans (merged word ranges [start, end) that occur in the benchmark), items (their item ids as strings, a
+    null last for items without an id) for each row of docs (doc_id, text).
 
     Words are runs of ASCII letters, digits and characters beyond ASCII, A-Z lower-cased; a window is `size` consecutive
     words of an item, or all words of a shorter one. A null or empty text has no words, an item without words no window, an
     empty benchmark hits nothing. The benchmark's bytes are summed first; beyond `part_bytes` it is scanned for in parts, each
-    no larger, and rows equal in doc_id and text then come out as one.
+    no larger. Rows equal in doc_id and text are joined then and repeated as often as one part's scan gave them.
     """
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, spans array<array<long>>, items array<string>"
     rows, known = docs.select("doc_id", "text"), _broadcast_windows(spark, benchmark, size, part_bytes)
@@ -153,9 +153,10 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
     every = found[0]
     for x in found[1:]:
         every = every.unionByName(x)
-    every = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    every = every.groupBy("doc_id").agg((F.count(F.lit(1)) / len(known)).cast("long").alias("copies"), F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     joined = lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, F.greatest(F.size(acc), F.lit(1)))[1] >= s[0]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.array(F.get(acc, F.size(acc) - 1)[0], F.greatest(F.get(acc, F.size(acc) - 1)[1], s[1]))))).otherwise(F.concat(acc, F.array(s)))
-    return every.select("doc_id.doc_id", "n_words", F.aggregate("spans", F.array().cast("array<array<long>>"), joined).alias("spans"), "items")
+    every = every.select("doc_id.doc_id", "n_words", F.aggregate("spans", F.array().cast("array<array<long>>"), joined).alias("spans"), "items", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return every.drop("col")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, size: int = 10, spans: bool = False, part_bytes: int = PART_BYTES) -> DataFrame:

@@ -171,3 +171,13 @@ def test_decontamination(spark):
     parts = {(r["doc_id"], str(r["spans"]), str(r["items"])) for r in contamination(spark, docs, bench, part_bytes=60).collect()}
     assert parts == {(r["doc_id"], str(r["spans"]), str(r["items"])) for r in got.values()} | {(None, "[]", "[]")}
     assert decontaminated(spark, docs, bench.limit(0)).count() == docs.count()
+
+
+def test_decontamination_keeps_every_row_and_items_without_id(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma"), (None, "delta epsilon zeta"), (2, "eta theta iota kappa")], "item_id long, text string")
+    rows = [(4, "a"), (4, "a"), (4, "x alpha beta gamma"), (5, "delta epsilon zeta, alpha beta gamma"), (5, "delta epsilon zeta, alpha beta gamma"), (6, "Delta Epsilon Zeta"), (None, None), (None, None), (None, "")]
+    docs = frame(spark, rows)
+    whole, parts = ([(r["doc_id"], r["n_words"], str(r["spans"]), r["items"]) for r in contamination(spark, docs, bench, part_bytes=n).collect()] for n in (1 << 20, 30))
+    assert len(whole) == len(rows) and sorted(whole, key=str) == sorted(parts, key=str)
+    assert (6, 3, "[[0, 3]]", [None]) in whole and whole.count((5, 6, "[[0, 6]]", ["1", None])) == 2
+    assert decontaminated(spark, docs, bench).count() == 5
