@@ -204,12 +204,20 @@ def rrf_fusion(spark, sf):
 @query(f"""with t as (select item_id, list_distinct({TOK}) as t from benchmark), p as (select a.item_id as a, b.item_id as b, len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::double as j from t a join t b on a.item_id < b.item_id)
 select a, b, round(j, 6) as j from p where j >= 0.2""")
 def jaccard_pairs(spark, sf):
-    """The benchmark is a stated query set: each pair of its items is compared."""
+    """Each pair of items of the benchmark; `jaccard_documents` compares the documents."""
     t = read(spark, sf, "benchmark").select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("t"))
     a, b = t.select(F.col("item_id").alias("a"), F.col("t").alias("ta")), t.select(F.col("item_id").alias("b"), F.col("t").alias("tb"))
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", T.jaccard(F.col("ta"), F.col("tb")).alias("j")).where("j >= 0.2").select("a", "b", F.round("j", 6).alias("j"))
 
 
+@query(f"""with t as (select doc_id, list_distinct({TOK}) as t from documents), p as (select a.doc_id as a, b.doc_id as b, len(list_intersect(a.t, b.t)) as c, len(a.t) as m, len(b.t) as n from t a join t b on a.doc_id < b.doc_id where len(a.t) >= 0.2 * len(b.t) and len(b.t) >= 0.2 * len(a.t))
+select a, b, round(c / (m + n - c)::double, 6) as j from p where m + n > c and c / (m + n - c)::double >= 0.2""")
+def jaccard_documents(spark, sf):
+    """Each pair of documents, none left out: the work grows with the square of their number."""
+    t = documents(spark, sf).select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("t"))
+    return S.jaccard_join(t, "doc_id", "t", 0.2).select("a", "b", F.round("j", 6).alias("j"))
+
+
 @query()
 def mmr_select(spark, sf):
     e = read(spark, sf, "embeddings").withColumn("rel", F.col("embedding")[0].cast("double"))
