@@ -165,10 +165,9 @@ def clusters(symbols: DataFrame, edges: DataFrame, seeds: DataFrame, *, colocate
 
 
 def rank_delta(spark: SparkSession, scoped: DataFrame, whole: DataFrame, *, rounds: int = 12) -> DataFrame:
-    """(node, delta): a node's rank in the scoped graph less that in the whole one, to six decimals."""
-    a = pagerank(spark, scoped, rounds=rounds).withColumnRenamed("rank", "__a")
-    b = pagerank(spark, whole, rounds=rounds).withColumnRenamed("rank", "__b")
-    return a.join(b, "node", "left").select("node", F.round(F.col("__a") - F.coalesce("__b", F.lit(0.0)), 6).alias("delta"))
+    """(node, delta): each node's rank in the scoped graph less that in the whole one, to six decimals; 0 where it isn't in one."""
+    a, b = (cut(pagerank(spark, e, rounds=rounds, every=2)).withColumnRenamed("rank", c) for e, c in ((scoped, "__a"), (whole, "__b")))
+    return a.join(b, "node", "full").select("node", F.round(F.coalesce("__a", F.lit(0.0)) - F.coalesce("__b", F.lit(0.0)), 6).alias("delta"))
 
 
 def mermaid(nodes: DataFrame, edges: DataFrame, *, most_nodes: int = 12, most_edges: int = 30) -> str:

@@ -78,11 +78,21 @@ def role_distribution(spark, sf):
 
 @query(_pagerank_sql("e as (select distinct l_suppkey as src, (l_suppkey * 7 + l_partkey % 3) % 97 as dst from lineitem where l_quantity < 25)", 8) + ", f as (select node, rank from r8) select count(*) as nodes, round(sum(rank), 4)::double as total from f")
 def pagerank_delta(spark, sf):
-    """The scoped graph's ranks, as used for a delta: they sum to one."""
+    """The scoped graph's ranks alone: they sum to one. `pagerank_rank_delta` has the deltas."""
     e = read(spark, sf, "lineitem").where("l_quantity < 25").select(F.col("l_suppkey").alias("src"), ((F.col("l_suppkey") * 7 + F.col("l_partkey") % 3) % 97).alias("dst")).distinct()
     return G.pagerank(spark, e, rounds=8).agg(F.count(F.lit(1)).alias("nodes"), F.round(F.sum("rank"), 4).alias("total"))
 
 
+SCOPED = "e as (select distinct l_suppkey as src, (l_suppkey * 7 + l_partkey % 3) % 97 as dst from lineitem where l_quantity < 25)"
+
+
+@query(f"with a as ({_pagerank_sql(SCOPED, 12)} select node, rank from r12), b as ({_pagerank_sql(EDGES, 12)} select node, rank from r12) select node, round(coalesce(a.rank, 0) - coalesce(b.rank, 0), 6) as delta from a full join b using (node)")
+def pagerank_rank_delta(spark, sf):
+    """Each node's rank over small orders' edges less that over all edges."""
+    d = read(spark, sf, "lineitem").where("l_quantity < 25").select(F.col("l_suppkey").alias("src"), ((F.col("l_suppkey") * 7 + F.col("l_partkey") % 3) % 97).alias("dst")).distinct()
+    return G.rank_delta(spark, d, edges(spark, sf))
+
+
 CHAIN = "e as (select distinct o_custkey as src, case when o_custkey % 10 = 9 then o_custkey - 4 else o_custkey + 1 end as dst from orders)"
 
 

@@ -1,5 +1,6 @@
 """Queries over all the rows that their names promise."""
 
+from marram.operators import graph as G
 from marram.operators import search as S
 from marram.plans import search
 
@@ -19,3 +20,21 @@ def test_documents_are_compared_with_documents(spark, tmp_path):
     rows = [(1, "a b c d", "s"), (2, "d c b a e", "s"), (300, "x y z", "s")]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [tuple(r) for r in search.jaccard_documents(spark, str(tmp_path)).collect()] == [(1, 2, 0.8)]
+
+
+def test_rank_delta_of_every_node(spark):
+    frame = lambda e: spark.createDataFrame(e, "src long, dst long")
+    scoped, whole = [(1, 2), (2, 1), (2, 3), (7, 1)], [(1, 2), (2, 1), (2, 3), (3, 4), (4, 1)]
+
+    def ranks(edges, rounds=12):
+        nodes = {n for e in edges for n in e}
+        r = dict.fromkeys(nodes, 1 / len(nodes))
+        out = {n: [d for s, d in edges if s == n] for n in nodes}
+        for _ in range(rounds):
+            loose = sum(r[n] for n in nodes if not out[n])
+            r = {n: 0.15 / len(nodes) + 0.85 * (sum(r[s] / len(out[s]) for s, d in edges if d == n) + loose / len(nodes)) for n in nodes}
+        return r
+
+    a, b = ranks(scoped), ranks(whole)
+    got = {r["node"]: r["delta"] for r in G.rank_delta(spark, frame(scoped), frame(whole)).collect()}
+    assert got.keys() == {1, 2, 3, 4, 7} and all(abs(got[n] - (a.get(n, 0) - b.get(n, 0))) < 2e-6 for n in got)
