@@ -55,6 +55,12 @@ def doc_frequency(spark, sf):
     return S.postings(documents(spark, sf)).groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df >= 20")
 
 
+@query(f"with p as (select doc_id, unnest(list_distinct({TOK})) as term from documents) select term, count(*) as df from p group by term")
+def document_frequencies(spark, sf):
+    """Every term, rare ones too; `doc_frequency` has those of 20 documents or more."""
+    return S.postings(documents(spark, sf)).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 @query(f"select count(*) as n_docs, round(avg(len({TOK})), 6) as avgdl from documents")
 def corpus_stats(spark, sf):
     return S.corpus_stats(documents(spark, sf)).select("n_docs", F.round("avgdl", 6).alias("avgdl"))
@@ -84,6 +90,17 @@ def bm25_multiquery(spark, sf):
     return S.ranked(S.bm25_batch(documents(spark, sf), q).withColumn("score", F.round("score", 6)), by=["item_id"]).where("rank <= 3").select("item_id", "doc_id", "score", "rank")
 
 
+@query(f"""with d as (select doc_id, {TOK} as t from documents), l as (select *, len(t) as n from d), s as (select count(*) as c, avg(n) as a from l),
+p as (select doc_id, n, unnest(t) as term from l), tf as (select doc_id, any_value(n) as n, term, count(*) as tf from p group by doc_id, term), df as (select term, count(*) as df from tf group by term),
+q as (select item_id, unnest({TOK}) as term from benchmark),
+b as (select item_id, doc_id, sum(ln((c - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * greatest(n, 1) / a))) as score from q join tf using (term) join df using (term), s group by item_id, doc_id),
+r as (select *, row_number() over (partition by item_id order by round(score, 6) desc, doc_id) as rank from b) select item_id, doc_id, round(score, 6) as score, rank from r where rank <= 3""")
+def bm25_whole_queries(spark, sf):
+    """`bm25_multiquery` with all tokens of each item, repeats counted, not the first five."""
+    q = read(spark, sf, "benchmark").select("item_id", F.explode(T.tokens(F.col("text"))).alias("term"))
+    return S.ranked(S.bm25_batch(documents(spark, sf), q).withColumn("score", F.round("score", 6)), by=["item_id"]).where("rank <= 3").select("item_id", "doc_id", "score", "rank")
+
+
 @query(BM25_SQL + f""", m as (select bm.doc_id, {PATH.replace('source', 'bm.source').replace('doc_id', 'bm.doc_id')} as path, bm.score, len(string_split_regex(d.text, '\\r?\\n')) as lines, d.n_chars, len(list_filter(string_split_regex(d.text, '\\r?\\n'), lambda x: regexp_matches(x, '(?i)(the|estiin|oransh)'))) as hits from bm join documents d using (doc_id)),
 sig as (select doc_id, case when lines > 1000 then 0.9 else 1.0 end * least(greatest(score / 100, 0), 1) as content, score, hits, case when doc_id % 100 < 7 then 1.0 when doc_id % 100 < 30 then 0.8 when doc_id % 100 < 90 then 0.6 else 0.4 end as recency from m),
 tot as (select doc_id, content, recency, (content * 0.30 + recency * 0.05 + least(1.0, log2(2) / 7) * 0.10) * 100 as total, score, hits from sig)

@@ -38,3 +38,10 @@ def test_rank_delta_of_every_node(spark):
     a, b = ranks(scoped), ranks(whole)
     got = {r["node"]: r["delta"] for r in G.rank_delta(spark, frame(scoped), frame(whole)).collect()}
     assert got.keys() == {1, 2, 3, 4, 7} and all(abs(got[n] - (a.get(n, 0) - b.get(n, 0))) < 2e-6 for n in got)
+
+
+def test_rare_terms_and_late_query_words_count(spark, tmp_path):
+    spark.createDataFrame([(1, "the cat the dog", "s"), (2, "the estiin", "s"), (3, "the end", "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(9, "q w e r t estiin")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {tuple(r) for r in search.document_frequencies(spark, str(tmp_path)).collect()} == {("the", 3), ("cat", 1), ("dog", 1), ("estiin", 1), ("end", 1)}
+    assert [(r["item_id"], r["doc_id"], r["rank"]) for r in search.bm25_whole_queries(spark, str(tmp_path)).collect()] == [(9, 2, 1)]
