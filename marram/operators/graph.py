@@ -61,19 +61,47 @@ def pagerank(spark: SparkSession, edges: DataFrame, *, rounds: int = 20, damping
     return ranks.select("node", "rank")
 
 
-def cyclic_nodes(spark: SparkSession, edges: DataFrame, *, most: int = 60) -> DataFrame:
-    """(node) on or between cycles: nodes without an edge in or without one out are peeled off until none is left to peel."""
-    live = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
+def _peeled(live: DataFrame) -> DataFrame:
+    """The edges (src, dst) left when nodes without an edge in or without one out are taken away until there are none."""
     n = live.count()
-    for _ in range(most):
+    while n:
         ends = live.select(F.col("src").alias("node")).intersect(live.select(F.col("dst").alias("node")))
         live = cut(live.join(ends.select(F.col("node").alias("src")), "src", "left_semi").join(ends.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
         m = live.count()
         if m == n:
             break
         n = m
-    return live.select(F.col("src").alias("node")).unionByName(live.select(F.col("dst").alias("node"))).unionByName(loops).distinct()
+    return live
+
+
+def _least(edges: DataFrame, own: DataFrame) -> DataFrame:
+    """(node, own, label): the least `own` of the nodes that reach a node, itself included; rounds until no label changes."""
+    labels = cut(own.select("node", "own", F.col("own").alias("label")))
+    while True:
+        given = edges.join(labels.select(F.col("node").alias("src"), "label"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("given"))
+        new = cut(labels.join(given, "node", "left").select("node", "own", F.least("label", "given").alias("label"), (F.col("given") < F.col("label")).alias("moved")))
+        labels = new.select("node", "own", "label")
+        if new.where("moved").isEmpty():
+            return labels
+
+
+def cyclic_nodes(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """(node) on cycles, loops included: after peeling, edges between nodes of unlike least ancestor or unlike least descendant are
+    on no cycle and go, and so on until none goes; then each edge left lies within a strongly connected component."""
+    loops = edges.where("src = dst").select(F.col("src").alias("node")).distinct()
+    live = _peeled(cut(edges.select("src", "dst").where("src <> dst").distinct()))
+    while n := live.count():
+        own = cut(live.select(F.col("src").alias("node")).distinct().withColumn("own", F.col("node")))
+        up = _least(live, own).select("node", F.col("label").alias("up"))
+        down = _least(live.select(F.col("dst").alias("src"), F.col("src").alias("dst")), own).select("node", F.col("label").alias("down"))
+        both = cut(up.join(down, "node"))
+        a = both.select(F.col("node").alias("src"), F.struct("up", "down").alias("a"))
+        b = both.select(F.col("node").alias("dst"), F.struct("up", "down").alias("b"))
+        kept = _peeled(cut(live.join(a, "src").join(b, "dst").where("a = b").select("src", "dst")))
+        if kept.count() == n:
+            break
+        live = kept
+    return live.select(F.col("src").alias("node")).unionByName(loops).distinct()
 
 
 def hot_spot_score(n_in: Column, name: Column, index_export: Column, kind: Column) -> Column:

@@ -45,3 +45,9 @@ def test_rare_terms_and_late_query_words_count(spark, tmp_path):
     spark.createDataFrame([(9, "q w e r t estiin")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert {tuple(r) for r in search.document_frequencies(spark, str(tmp_path)).collect()} == {("the", 3), ("cat", 1), ("dog", 1), ("estiin", 1), ("end", 1)}
     assert [(r["item_id"], r["doc_id"], r["rank"]) for r in search.bm25_whole_queries(spark, str(tmp_path)).collect()] == [(9, 2, 1)]
+
+
+def test_nodes_between_cycles_are_on_none(spark):
+    edges = [(11, 12), (12, 11), (12, 5), (5, 6), (6, 1), (1, 2), (2, 3), (3, 1), (3, 20), (20, 21), (40, 40), (40, 11)]
+    got = {r["node"] for r in G.cyclic_nodes(spark, spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == {11, 12, 1, 2, 3, 40}
