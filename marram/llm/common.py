@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import os
+import re
 import tempfile
 import uuid
 
@@ -15,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only when its rows, counted, stay below this many bytes.
 BROADCAST_BYTES = 8 << 20
+#: Bytes of an Arrow batch between the JVM and Python where the session sets none: long texts make batches of few rows.
+BATCH_BYTES = 4 << 20
 
 _numbers = itertools.count()
 
@@ -23,10 +27,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes beside rows, unless the session has its own bound."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session on one machine (tests) gets
+    a folder of its own; on a cluster that is an error, as executors would write where nobody else can read."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), "marram-shared")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -37,6 +51,8 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/marram/{name}-{uuid.uuid4().hex[:12]}"
+        for opened in _opened:
+            opened.append(self)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{next(_numbers):04d}-{name}"
@@ -49,11 +65,30 @@ class Workspace:
         out._marram_path = path
         return out
 
+    def _delete(self, path: str) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
     def drop(self, *frames: DataFrame | None) -> None:
         for df in frames:
             if df is not None and (path := getattr(df, "_marram_path", None)):
-                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                self._delete(path)
+
+
+_opened: list[list[Workspace]] = []
+
+
+@contextlib.contextmanager
+def workspaces_dropped():
+    """Within it, results must be written or collected: at its end, the folders of all workspaces made in it are removed."""
+    mine: list[Workspace] = []
+    _opened.append(mine)
+    try:
+        yield
+    finally:
+        _opened.remove(mine)
+        for ws in mine:
+            ws._delete(ws.root)
 
 
 def checked_broadcast(df: DataFrame, row_bytes: int, rows: int | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -102,8 +137,9 @@ def _tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], A-Z folded to lower case; polynomial prefix sums over spans of about 1 MB."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """64-bit hashes of data[start:end], with `fold` A-Z as a-z; polynomial prefix sums over spans of about 1 MB."""
+    table = _LOWERED if fold else _BYTE
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -113,7 +149,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         power, inverse = _tables(e - b + 1)
         sums = np.empty(e - b + 1, np.uint64)
         sums[0] = 0
-        np.cumsum(_LOWERED[data[b:e]] * power[: e - b], out=sums[1:])
+        np.cumsum(table[data[b:e]] * power[: e - b], out=sums[1:])
         s, t = starts[i:j] - b, ends[i:j] - b
         out[i:j] = mix((sums[t] - sums[s]) * inverse[s])
         i = j
@@ -123,7 +159,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 class Words:
     """The words of a run of documents: byte spans in `data`, hashes, and `lo` (the words of document d are lo[d]:lo[d+1])."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, hashed: bool = True):
         sep = separators[data] if len(data) else np.zeros(0, bool)
         word = ~sep
         first, last = word.copy(), word.copy()
@@ -136,7 +172,8 @@ class Words:
         self.data, self.offsets = data, offsets
         self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.lo = np.searchsorted(self.starts, offsets)
-        self.hashes = word_hashes(data, self.starts, self.ends)
+        if hashed:
+            self.hashes = word_hashes(data, self.starts, self.ends)
 
     def text(self, a: int, b: int) -> bytes:
         """Words a to b, lower-cased, with single spaces between."""

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_NON_ALNUM, M2, M3, Words, mix, runs
+from .common import ASCII_NON_ALNUM, M2, M3, Words, bounded_batches, mix, runs
 
 #: Most bytes of benchmark text that are sent to the executors at once; more is scanned in parts of this size.
 PART_BYTES = 16 << 20
@@ -124,6 +124,7 @@ def _filter(windows, spans: bool):
 
 def _broadcast_windows(spark: SparkSession, benchmark: DataFrame, size: int, part_bytes: int) -> list:
     """The benchmark's windows as broadcasts: one if its bytes fit part_bytes, else one for each part of the items."""
+    bounded_batches(spark)
     known = benchmark.where("text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-2 * total // part_bytes)) if total > part_bytes else 1

@@ -3,18 +3,23 @@
 Among all rates r_d >= 0 that meet the token constraints, entropy balancing takes those of least token-weighted relative
 entropy, sum of size_d * (r_d ln r_d - r_d + 1); they are exp(sum of the multipliers of the groups that the document is in).
 Newton's method on the convex dual finds the multipliers from the tokens of each cell (combination of groups), which are all it
-reads of the corpus. Rates become whole copies: floor(rate) for each document, and one more for a share of each source.
+reads of the corpus. Rates become whole copies: floor(rate) for each document, and one more for a share of each source, those
+first in a hash order of documents. Where that order is cut is found by sums over ever finer ranges of hashes, so the copies of
+a document depend on its own row and on one row of its source: nothing is sorted, and texts stay where they lie.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, checked_broadcast
 
-#: Buckets of the hash order in which extra copies are given.
-BUCKETS = 1024
+#: Bits of the hash order, and of each range in which its cut is sought.
+HASH_BITS, RANGE_BITS, RANGES = 60, 10, 3
+#: Most groups of a mix with several constraint columns, whose Hessian the driver solves.
+MOST_GROUPS = 2000
 
 
 def word_count(text: Column) -> Column:
@@ -44,108 +49,181 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, most: f
     return t.select("source", "source_size", F.least("cap", F.coalesce(level * F.col("w"), F.col("cap"))).alias("target"))
 
 
-def newton(spark: SparkSession, cells: DataFrame, targets: DataFrame, ws: Workspace, *, rounds: int = 50, tolerance: float = 1e-10) -> DataFrame:
-    """group, multiplier: the dual's minimum. cells (groups: array<int>, tokens), targets (group, target).
+def newton(spark: SparkSession, cells: DataFrame, targets: DataFrame, ws: Workspace, *, rounds: int = 100, tolerance: float = 1e-10) -> DataFrame:
+    """group, multiplier: the minimum of the dual, sum of tokens * exp(sum of multipliers) over cells less target * multiplier.
 
-    Every cell is in one group of each constraint column. A round is one aggregate over cells and groups: the gradient
-    (tokens now minus target) and the Hessian's diagonal (tokens now), and a damped step, so rounds cost the number of cells
-    and not of documents. With one constraint column the Hessian is diagonal and the step is Newton's own; with several the
-    diagonal is scaled by their number, which bounds the Hessian from above, and rounds converge monotonically.
-    A group without tokens or with target 0 gets rate 0.
+    cells (groups: array<int>, one for each constraint column; tokens), targets (group, target). With one constraint column the
+    dual falls apart into one for each group, so all rounds are one expression over the groups' tokens, a step of at most 1 each.
+    With several, a round is one aggregate over cells for the gradient and the whole Hessian (the mass that two groups share), a
+    solve on the driver, and one aggregate for the dual at ever smaller parts of the step, of which the first that lowers it
+    enough is taken; those groups are MOST_GROUPS at most. A group without tokens or with target 0 has no multiplier. Targets
+    that no rates meet, or too few rounds: an error.
     """
-    n = targets.count()
-    lam = ws.stage(targets.select("group", "target", F.lit(0.0).alias("multiplier")), "multipliers")
-    pairs = ws.stage(cells.select(F.monotonically_increasing_id().alias("cell"), "tokens", F.size("groups").alias("m"), F.explode("groups").alias("group")), "cells")
-    for _ in range(rounds):
-        now = pairs.join(checked_broadcast(lam, 24, n), "group")
-        mass = now.groupBy("cell").agg((F.first("tokens") * F.exp(F.sum("multiplier"))).alias("mass"), F.first("m").alias("m"), F.collect_list("group").alias("groups"))
-        by = mass.select("mass", "m", F.explode("groups").alias("group")).groupBy("group").agg(F.sum("mass").alias("now"), F.max("m").alias("m"))
-        step = F.when((F.col("target") > 0) & (F.col("now") > 0), (F.col("target") - F.col("now")) / (F.col("now") * F.col("m")))
-        step = F.coalesce(step, F.lit(0.0))
-        seen = Observation()
-        nxt = by.join(checked_broadcast(lam, 24, n), "group", "right").select("group", "target", (F.col("multiplier") + F.least(F.greatest(step, F.lit(-1.0)), F.lit(1.0))).alias("multiplier"), F.abs(step).alias("off"))
-        nxt = ws.stage(nxt.observe(seen, F.max("off").alias("off")).drop("off"), "multipliers")
-        ws.drop(lam)
-        lam = nxt
-        if (seen.get["off"] or 0.0) <= tolerance:
+    cells = ws.stage(cells.where("tokens > 0").select(F.monotonically_increasing_id().alias("cell"), F.col("tokens").cast("double").alias("tokens"), F.array_distinct("groups").alias("groups")), "cells")
+    columns = cells.agg(F.max(F.size("groups"))).first()[0] or 0
+    if columns > 1:
+        return _crossing(spark, cells, targets, columns, rounds, tolerance)
+    sums = cells.select(F.explode("groups").alias("group"), "tokens").groupBy("group").agg(F.sum("tokens").alias("tokens"))
+    t = targets.where("target > 0").join(sums, "group")
+    off = lambda x: F.col("target") / (F.col("tokens") * F.exp(x)) - 1
+    step = lambda x: F.least(F.greatest(off(x), F.lit(-1.0)), F.lit(1.0))
+    x = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.lit(0.0), lambda x, _: F.when(F.abs(off(x)) <= tolerance, x).otherwise(x + step(x)))
+    t = ws.stage(t.select("group", "target", "tokens", x.alias("multiplier")), "multipliers")
+    if t.where(F.abs(off(F.col("multiplier"))) > 1e-6).limit(1).count():
+        raise RuntimeError("the multipliers did not settle")
+    return t.select("group", "multiplier")
+
+
+def _crossing(spark: SparkSession, cells: DataFrame, targets: DataFrame, columns: int, rounds: int, tolerance: float) -> DataFrame:
+    goal = {r["group"]: float(r["target"]) for r in targets.where("target > 0").limit(MOST_GROUPS + 1).collect()}
+    if len(goal) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups in crossing constraints")
+    # a cell with a group whose target is 0 takes nothing
+    known = cells.where(F.forall("groups", lambda g: g.isin(list(goal))))
+    live = sorted(r[0] for r in known.select(F.explode("groups")).distinct().collect())
+    place = {g: i for i, g in enumerate(live)}
+    t, x = np.array([goal[g] for g in live]), np.zeros(len(live))
+
+    def mass(y: np.ndarray) -> Column:
+        of = F.create_map(*(F.lit(v) for g, z in zip(live, y.tolist(), strict=True) for v in (g, z)))
+        return F.col("tokens") * F.exp(F.aggregate("groups", F.lit(0.0), lambda a, g: a + F.element_at(of, g)))
+
+    for _ in range(rounds if live else 0):
+        pairs = known.select(F.explode("groups").alias("a"), "groups", mass(x).alias("m")).select("a", F.explode("groups").alias("b"), "m").groupBy("a", "b").agg(F.sum("m").alias("m")).collect()
+        hessian = np.zeros((len(live), len(live)))
+        for r in pairs:
+            hessian[place[r["a"]], place[r["b"]]] = r["m"]
+        now = hessian.diagonal()
+        gradient = now - t
+        if np.abs(gradient / t).max() <= tolerance:
             break
-    return lam.select("group", "multiplier")
+        step = -np.linalg.lstsq(hessian, gradient, rcond=1e-12)[0]  # columns share their total, so it is singular
+        parts = [0.5**k for k in range(12)]
+        at = known.agg(*(F.sum(mass(x + p * step)).alias(f"m{k}") for k, p in enumerate(parts))).first()
+        here, slope = float(now.sum()) / columns - float(t @ x), float(gradient @ step)
+        for p, m in zip(parts, at, strict=True):
+            if np.isfinite(m) and m - float(t @ (x + p * step)) <= here + 1e-4 * p * slope + 1e-12 * abs(here):
+                x = x + p * step
+                break
+        else:
+            break
+    if live and np.abs(gradient / t).max() > 1e-6:
+        raise RuntimeError("no rates meet the targets, or the multipliers did not settle")
+    return spark.createDataFrame([(g, v) for g, v in zip(live, x.tolist(), strict=True)], "group int, multiplier double")
 
 
-def mix(spark: SparkSession, docs: DataFrame, *, weights: list[float] = (3.0, 1.0, 2.0), share: float = 1.5, most: int = 2, seed: int = 11, keep_hash: bool = False) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies, taken (keep_hash: and text_hash): one row for each row of docs (doc_id, text, source).
+def _keyed(docs: DataFrame, seed: int) -> DataFrame:
+    """docs with __size and __h, its place in the hash order."""
+    d = docs.withColumn("__size", word_count(F.col("text")))
+    return d.withColumn("__h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "__size"), 64 - HASH_BITS))
 
-    size counts words (null text: 0); null is a source of its own. taken = copies * size with 0 <= copies <= most. Extra copies
-    go to documents in hash order until the source's share is met, the last of them being the document that comes closest;
-    repeated rows (same doc_id and size) are told apart by their place in hash order only, and reruns agree. A document
-    without words has rate 0 and no copies. An empty table gives no rows. Other columns of docs are not read.
-    """
-    ws = Workspace(spark, "mix")
-    sizes = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
-    sizes = ws.stage(sizes.withColumn("row", F.monotonically_increasing_id()), "sizes")
-    targets = source_targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), list(weights), share, most)
+
+def _more(d: DataFrame) -> Column:
+    """1 or 0 more copies of a row joined with its source's row of `_plan`; null where it shares its hash with rows of which some only get one."""
+    told = F.filter("__told", lambda x: x["h"] == F.col("__h"))
+    own = F.when(F.col("__extra") <= 0, 0).when(F.size(told) == 0, (F.col("__h") < F.col("__cut")).cast("int"))
+    return own.otherwise(F.when(F.get(told, F.lit(0))["k"] == 0, 0).when(F.get(told, F.lit(0))["k"] == F.get(told, F.lit(0))["m"], 1))
+
+
+def _plan(spark: SparkSession, docs: DataFrame, ws: Workspace, weights: list[float], share: float, most: int, seed: int) -> tuple[DataFrame, DataFrame, int]:
+    """(rows of docs as doc_id, source, __size, __h; the plan; its rows): the plan has, for each source, its size, target and rate,
+    __base copies for every document, __cut of the hash order before which documents get one more, and __told: of the m rows of
+    hash h, k get one more."""
+    d = ws.stage(_keyed(docs, seed).select("doc_id", "source", "__size", "__h"), "sizes")
+    targets = source_targets(d.groupBy("source").agg(F.sum("__size").alias("source_size")), weights, share, most)
     targets = ws.stage(targets.withColumn("group", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source"))), "targets")
-    cells = targets.where("source_size > 0").select(F.array("group").alias("groups"), F.col("source_size").cast("double").alias("tokens"))
+    cells = targets.where("source_size > 0").select(F.array("group").alias("groups"), F.col("source_size").alias("tokens"))
     lam = newton(spark, cells, targets.where("source_size > 0").select("group", "target"), ws)
-    rates = targets.join(lam.select("group", "multiplier"), "group", "left")
-    rate = F.when((F.col("source_size") > 0) & (F.col("target") > 0), F.least(F.exp("multiplier"), F.lit(float(most)))).otherwise(0.0)
+    rate = F.when(F.col("multiplier").isNotNull(), F.least(F.exp("multiplier"), F.lit(float(most)))).otherwise(0.0)
     # within rounding of Newton's last step a rate is a whole number; then no document is left over
-    whole = F.round(rate)
-    rates = rates.select(F.col("source").alias("s"), "source_size", "target", F.when(F.abs(rate - whole) < 1e-9, whole).otherwise(rate).alias("rate"))
-    rates = ws.stage(rates, "rates")
-    n = rates.count()
-    d = sizes.join(checked_broadcast(rates, 64, n), sizes["source"].eqNullSafe(rates["s"])).drop("s")
-    d = d.withColumn("base", F.floor("rate")).withColumn("extra", F.col("target") - F.col("base") * F.col("source_size"))
-    d = d.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size")).withColumn("bucket", F.pmod(F.shiftright("h", 20), F.lit(BUCKETS)))
-    d = ws.stage(d, "rated")
-    # how far into the hash order the extra copies go: by buckets first, then by documents of the bucket that is cut
-    per = d.where("extra > 0").groupBy("source", "bucket").agg(F.sum("size").alias("tokens"), F.first("extra").alias("extra"))
-    run = Window.partitionBy("source").orderBy("bucket")
-    per = per.withColumn("upto", F.sum("tokens").over(run))
-    cut = ws.stage(per.where("upto > extra and upto - tokens <= extra").select(F.col("source").alias("s"), F.col("bucket").alias("cut"), (F.col("extra") - (F.col("upto") - F.col("tokens"))).alias("room")), "cut")
-    cut = checked_broadcast(cut, 32)
-    d = d.join(cut, d["source"].eqNullSafe(cut["s"]), "left").drop("s")
-    inside = d.where("bucket = cut")
-    order = Window.partitionBy("source").orderBy("h", "doc_id", "size")
-    inside = ws.stage(inside.withColumn("upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.row_number().over(order)), "inside")
-    # of the first documents of the cut bucket, as many as come closest to the room
-    ends = inside.groupBy("source").agg(F.min_by("n", F.struct(F.abs(F.col("upto") - F.col("room")), F.col("n"))).alias("n"), F.min(F.abs(F.col("upto") - F.col("room"))).alias("off"), F.first("room").alias("room"))
-    ends = ends.select(F.col("source").alias("s"), F.when(F.col("off") < F.col("room"), F.col("n")).otherwise(0).alias("last"))
-    inside = inside.join(checked_broadcast(ws.stage(ends, "ends"), 32, n), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    keep = ["row", "doc_id", "text_hash", "source", "size", "source_size", "target", "rate", "base", "extra"]
-    outside = d.where("bucket <> cut or cut is null").withColumn("more", ((F.col("extra") > 0) & (F.col("cut").isNull() | (F.col("bucket") < F.col("cut")))).cast("int"))
-    both = outside.select(*keep, "more").unionByName(inside.select(*keep, (F.col("n") <= F.col("last")).cast("int").alias("more")))
-    for _ in range(2):
-        both = ws.stage(both, "given")
-        both = _nearer(both, ws, n)
-    copies = F.when(F.col("size") > 0, F.least(F.col("base") + F.col("more"), F.lit(most))).otherwise(0).cast("long")
-    return both.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("row", "base", "extra", "more", *[] if keep_hash else ["text_hash"])
-
-
-def _nearer(given: DataFrame, ws: Workspace, sources: int) -> DataFrame:
-    """given with one document of each source changed between more and no more, where that brings the source nearer its target."""
-    live = given.where("extra > 0 and size > 0")
-    gap = live.groupBy("source").agg((F.first("extra") - F.sum(F.col("more") * F.col("size"))).alias("gap")).select(F.col("source").alias("s"), "gap")
-    gap = checked_broadcast(ws.stage(gap, "gap"), 32, sources)
-    after = F.abs(F.col("gap") - F.col("size") * (1 - 2 * F.col("more")))
-    best = live.join(gap, F.col("source").eqNullSafe(F.col("s"))).where(after < F.abs("gap"))
-    best = best.groupBy("source").agg(F.min_by("row", F.struct(after, F.col("doc_id"), F.col("row"))).alias("r"))
-    best = checked_broadcast(ws.stage(best.select("r"), "changed"), 16, sources)
-    return given.join(best, given["row"] == best["r"], "left").withColumn("more", F.when(F.col("r").isNull(), F.col("more")).otherwise(1 - F.col("more"))).drop("r")
-
-
-def mixed(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, each as often as `mix` copies it. Rows equal in doc_id, text and source share their copies."""
+    p = targets.join(lam, "group", "left").withColumn("rate", rate)
+    p = p.withColumn("rate", F.when(F.abs(F.col("rate") - F.round("rate")) < 1e-9, F.round("rate")).otherwise(F.col("rate")))
+    p = p.withColumn("__base", F.floor("rate")).withColumn("__extra", F.col("target") - F.col("__base") * F.col("source_size"))
+    p = ws.stage(p.select(F.col("source").alias("__s"), "source_size", "target", "rate", "__base", "__extra", F.lit(0).cast("long").alias("__range"), F.col("__extra").alias("__room")), "rates")
+    n = p.count()
+
+    def with_source(rows: DataFrame, plan: DataFrame) -> DataFrame:
+        return rows.join(checked_broadcast(plan, 256, n), rows["source"].eqNullSafe(plan["__s"]))
+
+    live = d.where("__size > 0")
+    for k in range(1, RANGES + 2):  # ranges of hashes, at last single hashes
+        before, now = HASH_BITS - RANGE_BITS * (k - 1), HASH_BITS - RANGE_BITS * k if k <= RANGES else 0
+        mine = with_source(live, p.select("__s", "__range", "__room")).where((F.col("__room") > 0) & (F.shiftright("__h", before) == F.col("__range")))
+        sums = mine.groupBy("source", F.shiftright("__h", now).alias("r")).agg(F.sum("__size").alias("tokens"), F.count(F.lit(1)).alias("m"), F.first("__room").alias("room"))
+        upto = F.sum("tokens").over(Window.partitionBy("source").orderBy("r"))  # 2**RANGE_BITS rows of a source at most; at last, those of a range of the least size
+        cut = sums.withColumn("upto", upto).where("upto > room and upto - tokens <= room")
+        cut = ws.stage(cut.select(F.col("source").alias("c"), "r", "m", (F.col("room") - F.col("upto") + F.col("tokens")).alias("left"), "tokens"), "cut")
+        p = p.drop("r", "m", "left", "tokens").join(checked_broadcast(cut, 64, n), p["__s"].eqNullSafe(cut["c"]), "left").drop("c")
+        if k == 1:
+            p = p.withColumn("__all", (F.col("__room") > 0) & F.col("r").isNull())
+        if k <= RANGES:
+            p = p.withColumn("__range", F.coalesce("r", "__range")).withColumn("__room", F.coalesce("left", F.lit(0.0)))
+    one = F.struct(F.col("r").alias("h"), F.round(F.col("left") * F.col("m") / F.col("tokens")).cast("long").alias("k"), F.col("m").alias("m"))
+    cut = F.when(F.col("r").isNotNull(), F.col("r")).when(F.col("__all"), F.lit(1 << HASH_BITS)).otherwise(F.shiftleft("__range", HASH_BITS - RANGE_BITS * RANGES))
+    told = F.when(F.col("r").isNotNull(), F.array(one)).otherwise(F.array().cast("array<struct<h:bigint,k:bigint,m:bigint>>"))
+    p = ws.stage(p.select("__s", "source_size", "target", "rate", "__base", "__extra", cut.cast("long").alias("__cut"), told.alias("__told")), "plan")
+    for _ in range(2):  # one document of a source more or less, where that is nearer
+        p = _nearer(with_source(live, p).where("__extra > 0"), p, ws, n)
+    return d, p, n
+
+
+def _nearer(rows: DataFrame, plan: DataFrame, ws: Workspace, n: int) -> DataFrame:
+    """The plan with one document of each source changed between more and no more, where that brings the source nearer its target."""
+    told = F.filter("__told", lambda x: x["h"] == F.col("__h"))
+    rows = rows.withColumn("told", F.get(told, F.lit(0))).withColumn("more", _more(rows))
+    part = F.coalesce(F.col("more").cast("double"), F.col("told.k") / F.col("told.m"))
+    gap = rows.groupBy("source").agg((F.first("__extra") - F.sum(part * F.col("__size"))).alias("gap")).select(F.col("source").alias("g"), "gap")
+    free = rows.where("told is null")
+    after = F.abs(F.col("gap") - F.col("__size") * (1 - 2 * F.col("more")))
+    free = free.join(checked_broadcast(gap, 32, n), F.col("source").eqNullSafe(F.col("g"))).where(after < F.abs("gap"))
+    best = free.groupBy("source").agg(F.min_by(F.struct("__h", "more"), F.struct(after, F.col("__h"))).alias("b"))
+    best = ws.stage(best.select(F.col("source").alias("b_s"), F.col("b.__h").alias("b_h"), F.col("b.more").alias("b_more")), "best")
+    # rows that share that hash: all but one stay as they are
+    alike = rows.select("source", "__h").join(checked_broadcast(best, 32, n), F.col("source").eqNullSafe(F.col("b_s")) & (F.col("__h") == F.col("b_h")))
+    alike = ws.stage(alike.groupBy("b_s", "b_h", "b_more").agg(F.count(F.lit(1)).alias("b_m")), "alike")
+    j = plan.join(checked_broadcast(alike, 40, n), plan["__s"].eqNullSafe(alike["b_s"]), "left")
+    more = F.array(F.struct(F.col("b_h").alias("h"), (F.when(F.col("b_more") == 1, F.col("b_m") - 1).otherwise(1)).cast("long").alias("k"), F.col("b_m").alias("m")))
+    return ws.stage(j.withColumn("__told", F.when(F.col("b_h").isNotNull(), F.concat("__told", more)).otherwise(F.col("__told"))).drop("b_s", "b_h", "b_more", "b_m"), "plan")
+
+
+def _given(rows: DataFrame, plan: DataFrame, n: int, ws: Workspace, most: int) -> DataFrame:
+    """rows (source, __size, __h, ...) with the plan's columns and __copies."""
+    j = rows.join(checked_broadcast(plan, 256, n), rows["source"].eqNullSafe(plan["__s"])).drop("__s")
+    j = j.withColumn("__more", _more(j))
+    if plan.where(F.exists("__told", lambda x: (x["k"] > 0) & (x["k"] < x["m"]))).limit(1).count():
+        # of rows that share id and size some get one more: each partition's share of them, then as many of its rows
+        part = j.where("__more is null").withColumn("__row", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__row", 33))
+        x = F.get(F.filter("__told", lambda x: x["h"] == F.col("__h")), F.lit(0))
+        per = part.groupBy("source", "__h", "__part").agg(F.count(F.lit(1)).alias("c"), F.first(x).alias("x"))
+        upto = F.sum("c").over(Window.partitionBy("source", "__h").orderBy("__part"))
+        due = lambda c: F.floor(c * F.col("x.k") / F.col("x.m") + 1e-9)
+        per = per.withColumn("upto", upto).select(F.col("source").alias("q_s"), F.col("__h").alias("q_h"), F.col("__part").alias("q_p"), (due(F.col("upto")) - due(F.col("upto") - F.col("c"))).alias("due"))
+        per = ws.stage(per, "due")
+        part = part.join(checked_broadcast(per, 64), F.col("source").eqNullSafe(F.col("q_s")) & (F.col("__h") == F.col("q_h")) & (F.col("__part") == F.col("q_p")))
+        place = F.row_number().over(Window.partitionBy("source", "__h", "__part").orderBy("__row"))
+        part = part.withColumn("__more", (place <= F.col("due")).cast("int")).select(*j.columns)
+        j = j.where("__more is not null").unionByName(part)
+    return j.withColumn("__copies", F.when(F.col("__size") > 0, F.least(F.col("__base") + F.col("__more"), F.lit(most))).otherwise(0).cast("long"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, *, weights: list[float] = (3.0, 1.0, 2.0), share: float = 1.5, most: int = 2, seed: int = 11) -> DataFrame:
+    """doc_id, source, size, source_size, target, rate, copies, taken: one row for each row of docs (doc_id, text, source).
+
+    size counts words (null text: 0); null is a source of its own. taken = copies * size with 0 <= copies <= most. Extra copies
+    go to documents in hash order until the source's share is met, and single documents then bring it nearer; rows that share
+    doc_id and size share their place, and as many of them get one as are due. Reruns agree. A document without words has no
+    copies. An empty table gives no rows. Other columns of docs are not read.
+    """
+    ws = Workspace(spark, "mix")
+    d, plan, n = _plan(spark, docs, ws, list(weights), share, most, seed)
+    out = _given(d, plan, n, ws, most)
+    return out.select("doc_id", "source", F.col("__size").alias("size"), "source_size", "target", "rate", F.col("__copies").alias("copies"), (F.col("__copies") * F.col("__size")).alias("taken"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, *, weights: list[float] = (3.0, 1.0, 2.0), share: float = 1.5, most: int = 2, seed: int = 11) -> DataFrame:
+    """The rows of docs, all columns, each as often as `mix` copies it, where they lie: texts are neither joined nor dealt, but
+    for rows that share doc_id and size with others of which some only get one more."""
     ws = Workspace(spark, "mixed")
-    copies = mix(spark, docs, keep_hash=True, **options).groupBy("doc_id", "text_hash", "source").agg(F.sum("copies").alias("c"), F.count(F.lit(1)).alias("n"))
-    copies = ws.stage(copies.where("c > 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("source").alias("__source"), "c", "n").withColumnsRenamed({"c": "__c", "n": "__n"}), "copies")
-    same = docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")) & docs["source"].eqNullSafe(F.col("__source"))
-    d = docs.join(checked_broadcast(copies, 64), same)
-    many = copies.where("__n > 1").limit(1).count()
-    times = F.col("__c")
-    if many:
-        place = F.row_number().over(Window.partitionBy("__id", "__hash", "__source").orderBy("__c"))
-        d = d.withColumn("__place", F.when(F.col("__n") > 1, place).otherwise(1))
-        times = F.floor(F.col("__c") / F.col("__n")) + (F.col("__place") <= F.col("__c") % F.col("__n")).cast("int")
-        times = F.when(F.col("__n") > 1, times).otherwise(F.col("__c"))
-    return d.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), times.cast("int")))).select(*(docs[c] for c in docs.columns))
+    _, plan, n = _plan(spark, docs, ws, list(weights), share, most, seed)
+    rows = _keyed(docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("__doc"), "doc_id", "text", "source"), seed).drop("doc_id", "text")
+    return _given(rows, plan, n, ws, most).select("__doc", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).select("__doc.*")

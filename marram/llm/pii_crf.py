@@ -18,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .spans import Span, span_rows, span_schema
 
 BASE = ["email", "ip", "card", "phone"]
 LABELS = ["none", *BASE]
-#: Ids of the training sample, and the most nodes of a document of it (longer ones are left out of the sample).
+#: Defaults of the training sample's bounds: ids, and the nodes of a document of it (longer ones are left out of the sample).
 SAMPLE_DOCS, SAMPLE_NODES = 20_000, 200
 #: Hash space of features, marginal from which a token is added, rounds of messages at most.
 SPACE, CERTAIN, ROUNDS = 1 << 12, 0.95, 30
@@ -239,34 +240,39 @@ def find_personal(t: str, field: Field, certain: float = CERTAIN) -> tuple[list[
     return base, [x for x in added if x[2] != "phone" or sum(c.isdigit() for c in t[x[0] : x[1]]) >= 7]
 
 
-def _sampled(batches):
-    for batch in batches:
-        rows = []
-        for x in batch.column(1):
-            t = x.as_py() or ""
-            g = Graph(t)
-            if 0 < len(g.spans) <= SAMPLE_NODES:
-                rows.append((g.features, g.labels(base_spans(t)).tolist(), [list(e) for e in g.edges], g.may))
-        ints = pa.list_(pa.int32())
-        cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.list_(ints)), pa.array(cols[1], ints), pa.array(cols[2], pa.list_(ints)), pa.array(cols[3], ints)], names=["f", "y", "e", "may"])
+def _sampler(most_nodes: int):
+    def sample(batches):
+        for batch in batches:
+            rows = []
+            for x in batch.column(1):
+                t = x.as_py() or ""
+                g = Graph(t)
+                if 0 < len(g.spans) <= most_nodes:
+                    rows.append((g.features, g.labels(base_spans(t)).tolist(), [list(e) for e in g.edges], g.may))
+            ints = pa.list_(pa.int32())
+            cols = list(zip(*rows, strict=True)) or [[], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.list_(ints)), pa.array(cols[1], ints), pa.array(cols[2], pa.list_(ints)), pa.array(cols[3], ints)], names=["f", "y", "e", "may"])
 
+    return sample
 
-def train_field(spark: SparkSession, docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS) -> Field:
-    """Fits the field on the `sample_docs` ids of least hash (all of a smaller table); only these come to the driver, as features."""
+
+def train_field(spark: SparkSession, docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_nodes: int = SAMPLE_NODES) -> Field:
+    """Fits the field on the `sample_docs` ids of least hash (all of a smaller table), of those the documents of at most
+    `sample_nodes` nodes; only these come to the driver, as features. No documents: a field without weights."""
+    bounded_batches(spark)
     ids = docs.select("doc_id").where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample_docs).select("doc_id")
     texts = docs.select("doc_id", "text").join(F.broadcast(ids.distinct()), "doc_id", "left_semi")  # at most sample_docs ids
-    got = texts.mapInArrow(_sampled, "f array<array<int>>, y array<int>, e array<array<int>>, may array<int>").collect()
+    got = texts.mapInArrow(_sampler(sample_nodes), "f array<array<int>>, y array<int>, e array<array<int>>, may array<int>").collect()
     return Field().train(sorted(((r["f"], r["y"], [tuple(e) for e in r["e"]], r["may"]) for r in got), key=str))
 
 
-def personal_data(spark: SparkSession, docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, certain: float = CERTAIN) -> DataFrame:
+def personal_data(spark: SparkSession, docs: DataFrame, *, sample_docs: int = SAMPLE_DOCS, sample_nodes: int = SAMPLE_NODES, certain: float = CERTAIN) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans of each kind), base_sha256, spans for each row of docs (doc_id, text).
 
     Spans are [start, end) in code points of the whole text; a null or empty text has none. An empty table trains nothing and
     gives no rows; rows that share an id are scanned each.
     """
-    field = train_field(spark, docs, sample_docs=sample_docs)
+    field = train_field(spark, docs, sample_docs=sample_docs, sample_nodes=sample_nodes)
     weights = spark.sparkContext.broadcast((field.unary, field.pair))  # SPACE x 5 numbers
     rows = docs.select("doc_id", "text")
 

@@ -44,8 +44,8 @@ def _repeat_words(h: Column, size: int) -> Column:
     return F.when(F.size(h) < size + 1, F.lit(0).cast("long")).otherwise(some)
 
 
-def text_statistics(docs: DataFrame, *, window: int = 5) -> DataFrame:
-    """doc_id, text_hash, the base counts (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words: long) and FEATURES (double).
+def text_statistics(docs: DataFrame, *, window: int = 5, keep: list[str] = ("doc_id",)) -> DataFrame:
+    """The columns `keep`, the base counts (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words: long) and FEATURES (double).
 
     Words are runs of other than blanks in the whole text; null has none, and all counts are 0 then. Windows are compared by
     64-bit hashes within one text.
@@ -54,12 +54,11 @@ def text_statistics(docs: DataFrame, *, window: int = 5) -> DataFrame:
     trimmed = F.regexp_replace(text, f"^[{BLANK}]+|[{BLANK}]+$", "")
     words = F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{BLANK}]+"))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{BLANK}]"))
-    d = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), text.alias("t"), words.alias("w"), lines.alias("l"))
+    d = docs.select(*keep, text.alias("t"), words.alias("w"), lines.alias("l"))
     n = F.size("w").cast("long")
     part = lambda x: F.when(n > 0, x / n).otherwise(0.0)
     counted = d.select(
-        "doc_id",
-        "text_hash",
+        *keep,
         n.alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -73,7 +72,7 @@ def text_statistics(docs: DataFrame, *, window: int = 5) -> DataFrame:
     )
     part = lambda x: F.when(F.col("n_words") > 0, x / F.col("n_words")).otherwise(0.0)
     return counted.select(
-        "doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.col("h.repeat").alias("n_repeat_words"),
+        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.col("h.repeat").alias("n_repeat_words"),
         part(F.col("word_chars")).alias("mean_word"), part(F.col("n_symbols")).alias("symbols"),
         F.when(F.col("n_lines") > 0, F.col("n_dup_lines") / F.col("n_lines")).otherwise(0.0).alias("dup_lines"),
         part(F.col("h.repeat")).alias("repeats"), "capitals", "punctuation", part(F.col("h.distinct")).alias("distinct"), "digits", "short_words", "n_lines",
@@ -193,24 +192,35 @@ def learn_rules(spark: SparkSession, stats: DataFrame, labels: DataFrame, ws: Wo
     return [tuple(real(*c) for c in r) for r in rules]
 
 
+def base_failed(words: Column, repeats: Column) -> Column:
+    """Fewer than 10 words, or over a fifth of them in repeated windows."""
+    return (words < 10) | (100 * repeats > 20 * words)
+
+
 def passing(spark: SparkSession, docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, that `quality` keeps. Rejected rows are told by doc_id and a hash of their text."""
+    """The rows of docs, all columns, that `quality` keeps. The rules are learned from the statistics of labelled rows; then one
+    scan of docs tests each row where it lies, so nothing is joined or shuffled but the labelled rows."""
     ws = Workspace(spark, "passing")
-    key = F.xxhash64("text")
-    rated, _ = quality(spark, docs, labels, ws, **options)
-    rejected = ws.stage(rated.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "rejected")
-    small = checked_broadcast(rejected, 24)
-    return docs.join(small, docs["doc_id"].eqNullSafe(small["__id"]) & (key == small["__hash"]), "left_anti")
+    ids = ws.stage(labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct(), "labelled")
+    ids = checked_broadcast(ids, 16)
+    known = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("__id"), "left_semi")
+    rules = learn_rules(spark, ws.stage(text_statistics(known), "statistics"), labels, ws, **options)
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("__doc"), "text")
+    rated = text_statistics(rows, keep=["__doc"])
+    names = [c for c in rated.columns if c != "__doc"]
+    # a generated column, so that the filter isn't pushed below the statistics and evaluated from the text for each condition
+    rated = rated.select("__doc", F.inline(F.array(F.struct(*names))))
+    return rated.where(~base_failed(F.col("n_words"), F.col("n_repeat_words")) & verdict(rules)).select("__doc.*")
 
 
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, ws: Workspace | None = None, **options) -> tuple[DataFrame, list[Rule]]:
     """(doc_id, base counts, features, base_failed, kept) for each row of docs, and the rules learned from labels.
 
-    base_failed: fewer than 10 words, or over a fifth of the words in repeated windows. kept: not base_failed and no rule
-    rejects. Null and empty texts have no words and fail; without labels the base alone decides; ids may repeat.
+    base_failed: see that function. kept: not base_failed and no rule rejects. Null and empty texts have no words and fail;
+    without labels the base alone decides; ids may repeat. An empty table gives no rows and no rules.
     """
     ws = ws or Workspace(spark, "quality")
     stats = ws.stage(text_statistics(docs), "statistics")
     rules = learn_rules(spark, stats, labels, ws, **options)
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     return stats.withColumn("base_failed", failed).withColumn("kept", ~failed & verdict(rules)), rules

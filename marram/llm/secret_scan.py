@@ -14,6 +14,7 @@ import re
 
 from pyspark.sql import DataFrame
 
+from .common import bounded_batches
 from .spans import Span, span_rows, span_schema
 
 BASE = ["assign", "access", "hex"]
@@ -141,5 +142,6 @@ def secrets(docs: DataFrame) -> DataFrame:
     Spans are [start, end) in code points; those of the base kinds are whole matches, leftmost and not overlapping within a kind
     (a failing match is dropped and not tried again). A null or empty text has none; rows are independent of each other.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text")
     return rows.mapInArrow(span_rows(find_secrets, BASE, KINDS), span_schema(dict(rows.dtypes)["doc_id"], BASE))

@@ -15,10 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import M2, Words, Workspace, _tables, as_long, checked_broadcast, mix, runs
+from .common import M2, Words, Workspace, _tables, as_long, bounded_batches, checked_broadcast, mix, runs
 
 #: Least words of a passage, and words of a k-gram.
 LEAST, GRAM = 50, 8
+#: Stands for a null doc_id on the way, and comes before all others.
+NO_ID = -(1 << 63)
 
 
 class Passages:
@@ -123,22 +125,25 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, *, least: int = LEAS
     several), spans and later (their word ranges [s, e); later: only where another occurrence comes before, by doc_id and place).
 
     Words are runs of other than blanks, A-Z lower-cased, over whole texts. Null and short texts have no passages; rows without
-    a doc_id are left out; rows that share an id are one document with the passages of each. Removing `later` keeps the first.
+    a doc_id are one document whose id is null; rows that share an id are one document with the passages of each, of as many words
+    as the longest. An empty table gives no rows. Removing `later` keeps the first.
     """
     ws = Workspace(spark, "suffix")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    bounded_batches(spark)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     sampled = ws.stage(rows.mapInArrow(_sampler(least, gram), _SUFFIX), "suffixes")
     words = sampled.where("key is null").groupBy("doc_id").agg(F.max("a").cast("long").alias("n_words"))
     found = sampled.where("key is not null")
-    shared = found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # written first: then both sides of the join are plain exchanges, and a common key's rows are split among tasks
+    shared = ws.stage(found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
     live = ws.stage(found.join(shared, "key", "left_semi"), "shared")
     alike = live.groupBy("key", "all").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "p", "a", "b")).alias("first"))
     alike = ws.stage(alike, "alike")
-    settled = live.join(alike.where("n > 1").select("key", "all", "first"), ["key", "all"])
+    settled = live.join(ws.stage(alike.where("n > 1").select("key", "all", "first"), "settled"), ["key", "all"])
     later = (F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.p") != F.col("p"))
     spans = settled.select("doc_id", F.col("a").alias("s"), (F.col("b") + least).alias("e"), later.alias("later"))
     # what agrees only in part: one of each set of suffixes alike, against those of other sets with that key
-    mixed = alike.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
+    mixed = ws.stage(alike.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"), "mixed")
     parts = alike.join(mixed, "key", "left_semi").select("first.*", (F.col("n") == 1).alias("open"))
     wanted = ws.stage(parts.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b", "open")).alias("ranges")), "ranges")  # at most one for each word of the text
     texts = rows.join(wanted, "doc_id").select("doc_id", "text", "ranges")
@@ -151,5 +156,5 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, *, least: int = LEAS
     by = spans.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("x"), F.sort_array(F.collect_set(F.when(F.col("later"), F.struct("s", "e")))).alias("y"))
     by = by.select("doc_id", _merged(F.col("x")).alias("spans"), _merged(F.col("y")).alias("later"))
     none = F.array().cast("array<struct<s:int,e:int>>")
-    out = words.join(by, "doc_id", "left").select("doc_id", "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("later", none).alias("later"))
+    out = words.join(by, "doc_id", "left").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("later", none).alias("later"))
     return out.withColumn("n_repeated", F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"]))

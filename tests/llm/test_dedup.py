@@ -119,3 +119,17 @@ def test_repeated_passages(spark):
         assert spans(got[d]["spans"]) == all_ and spans(got[d]["later"]) == later, d
         assert got[d]["n_words"] == len(w) and got[d]["n_repeated"] == len(all_)
     assert repeated_passages(spark, spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_that_share_an_id(spark):
+    """Each row is linked by its own text; one row of each class stays, and clean texts stay."""
+    r = random.Random(7)
+    a, b, c = ([f"w{r.randrange(9999)}" for _ in range(80)] for _ in range(3))
+    near = lambda t: " ".join([*t[:-1], "other"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (1, " ".join(c)), (1, " ".join(c)), (None, " ".join(c)), (None, None)]
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, fp string").repartition(3)
+    got = sorted(((x["doc_id"], x["component_id"], x["kept"]) for x in near_duplicates(spark, df, size=3, percent=85).collect()), key=str)
+    assert got == sorted([(1, 1, True)] * 4 + [(2, 1, False), (3, 1, False)] + [(None, None, True)] * 2, key=str)
+    left = sorted(((x["doc_id"], x["text"]) for x in deduplicated(spark, df).collect()), key=str)
+    assert left == sorted([rows[0], rows[1], rows[4], (None, rows[6][1]), (None, None)], key=str)
+    assert deduplicated(spark, df.limit(0)).count() == 0

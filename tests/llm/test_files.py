@@ -11,7 +11,8 @@ from hypothesis import strategies as st
 
 from marram.llm import token_output as T
 from marram.llm import warc
-from marram.llm.mixing import mix, mixed
+from marram.llm.common import Workspace
+from marram.llm.mixing import mix, mixed, newton
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -20,11 +21,56 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 @given(st.lists(st.integers(0, 2**64 - 1) | st.integers(0, 50_000) | st.just(0) | st.just(1), max_size=400))
 def test_simple8b(values):
     v = np.array(values, np.uint64)
-    words, escapes = T.pack(v)
-    assert (T.unpack(words, len(v), escapes) == v).all()
-    raw = T.block([(7, len(v), True)], v, 5) + T.END
-    ((head, entries, ids),) = T.blocks(raw)
-    assert (ids == v).all() and int(head["start"]) == 5 and entries.tolist() == [(7, len(v), 1)]
+    words, upto, escapes = T.pack(v)
+    assert upto.tolist() == [0, len(words)]
+    head, entries, ids = T.decoded(T.block([(7, len(v), words, escapes, True)], 5))
+    assert (ids == v).all() and int(head["start"]) == 5 and entries.tolist() == [(7, len(v), len(words), 1, 0)]
+    # two documents in one run have words of their own; cut ones come back whole
+    k = len(v) // 3
+    words, upto, escapes = T.pack(v, np.array([0, k, len(v)]))
+    mine = escapes[escapes["at"] >= k].copy()
+    mine["at"] -= k
+    pieces = list(T._cut(8, len(v) - k, words[upto[1] :], mine, 50))
+    assert all(p[1] <= 60 for p in pieces) and [p[4] for p in pieces] == [False] * (len(pieces) - 1) + [True]
+    back = [T.decoded(T.block([p], 0))[2] for p in pieces]
+    assert (np.concatenate(back) == v[k:]).all()
+
+
+def test_no_block_holds_the_separator():
+    words = np.frombuffer(T.END * 3, "<u8")
+    n = int(T.counts_of(words).sum())
+    raw = T.block([(1, n, words, np.zeros(0, T._ESCAPE), True)], 0)
+    assert T.END not in raw and (T.decoded(raw)[2] == T.unpack(words)).all()
+
+
+def test_crc32_of_both():
+    r = random.Random(1)
+    for _ in range(50):
+        a, b = r.randbytes(r.randrange(300)), r.randbytes(4 * r.randrange(300))
+        assert T.crc32_of_both(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+ALPHABET = "aAzZéÀßñÿÖ×÷ØΩω'.,!<|>$#-_*09 \t\n\u00a0\u0301\u0130İǰJ\u030cſﬁ中あ🙂\u200bÆœ"
+
+
+def test_encoder_equals_the_library():
+    """Words, pieces and remembered words give the ids of whole texts, with and without room to remember."""
+    from tokenizers import Tokenizer
+
+    r, t = random.Random(3), Tokenizer.from_file(PATH)
+    texts = ["".join(r.choice(ALPHABET) for _ in range(r.randrange(40))) for _ in range(6000)]
+    texts += ["<|endoftext|>", "a<|startoftext|>b", "x" * 1000, "'s't're don't we'll", "A\u0301 J\u030c", "\x1ca\x1fb"]
+    raw = [x.encode() for x in texts]
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    for cache in (2000, 40 << 20):
+        e = T.Encoder(PATH, cache)
+        assert e.pieces
+        for a in range(0, len(raw), 500):
+            part = raw[a : a + 500]
+            ids, lo = e.encode(np.frombuffer(b"".join(part), np.uint8), np.r_[0, np.cumsum([len(x) for x in part])])
+            for k in range(len(part)):
+                assert ids[lo[k] : lo[k + 1]].tolist() == want[a + k], texts[a + k]
+        assert e.young.size() <= cache + (4 << 20)
 
 
 def test_token_output(spark):
@@ -41,6 +87,10 @@ def test_token_output(spark):
     assert T.token_output(spark, df.limit(0), PATH).count() == 0
     twice = T.token_output(spark, spark.createDataFrame([(1, "a"), (1, "a"), (None, "b")], "doc_id long, text string"), PATH).orderBy("start").collect()
     assert [(r["doc_id"], r["n_tokens"]) for r in twice] == [(None, 2), (1, 2), (1, 2)]
+    many = spark.createDataFrame([(k // 7, "w " * (k % 50)) for k in range(700)] + [(50, "word x " * 30_000)], "doc_id long, text string")
+    rows = T.token_output(spark, many, PATH).orderBy("start", "n_tokens").collect()
+    assert [r["doc_id"] for r in rows] == sorted(r["doc_id"] for r in rows) and len(rows) == 701
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(rows, rows[1:])) and max(r["n_tokens"] for r in rows) > 50_000
 
 
 def test_warc(spark):
@@ -108,3 +158,37 @@ def test_mix(spark):
     out = mixed(spark, df)
     assert out.columns == df.columns and sum(len((x["text"] or "").split()) for x in out.collect()) == sum(x["taken"] for x in got)
     assert mix(spark, df.limit(0)).count() == 0 and mixed(spark, df.limit(0)).count() == 0
+
+
+def test_newton_with_crossing_constraints(spark):
+    """Two constraint columns: the rates meet all four targets; the same by numpy."""
+    tokens = {(1, 3): 500.0, (1, 4): 100.0, (2, 3): 300.0, (2, 4): 100.0}
+    targets = {1: 300.0, 2: 700.0, 3: 800.0, 4: 200.0}
+    cells = spark.createDataFrame([(list(g), t) for g, t in tokens.items()], "groups array<int>, tokens double")
+    lam = {r["group"]: r["multiplier"] for r in newton(spark, cells, spark.createDataFrame(list(targets.items()), "group int, target double"), Workspace(spark, "t")).collect()}
+    rate = {g: np.exp(sum(lam[x] for x in g)) for g in tokens}
+    for x, want in targets.items():
+        assert abs(sum(t * rate[g] for g, t in tokens.items() if x in g) - want) < 1e-6
+    m = np.array([[500.0, 100], [300, 100]])  # iterative proportional fitting has the same limit
+    for _ in range(500):
+        m *= (np.array([300.0, 700]) / m.sum(1))[:, None]
+        m *= np.array([800.0, 200]) / m.sum(0)
+    assert all(abs(tokens[g] * rate[g] - m[g[0] - 1, g[1] - 3]) < 1e-6 for g in tokens)
+    import pytest
+
+    with pytest.raises(RuntimeError):
+        newton(spark, cells, spark.createDataFrame([(1, 300.0), (2, 700.0), (3, 100.0), (4, 200.0)], "group int, target double"), Workspace(spark, "t"))
+
+
+def test_mix_of_repeated_rows(spark):
+    """One document that is most of a source: as many of its rows get a copy as are due."""
+    rows = [(1, "a", "x y z")] * 500 + [(2, "a", "x")] * 3 + [(3, "b", "w " * 4000), (None, None, "n"), (None, None, "n")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    got = mix(spark, df).collect()
+    assert len(got) == len(rows)
+    for s in ("a", "b", None):
+        mine = [x for x in got if x["source"] == s]
+        assert abs(sum(x["taken"] for x in mine) - mine[0]["target"]) <= max(x["size"] for x in mine) / 2, s
+    out = mixed(spark, df).collect()
+    for s in ("a", "b", None):
+        assert sum(len(x["text"].split()) for x in out if x["source"] == s) == sum(x["taken"] for x in got if x["source"] == s)
