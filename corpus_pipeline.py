@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from marram.llm.common import Workspace, table
+from marram.llm.common import Workspace, table, workspaces_dropped
 from marram.llm.decontaminate import decontaminated
 from marram.llm.mixing import mixed
 from marram.llm.near_dedup import deduplicated
@@ -48,11 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet and read again."""
+    """All stages over documents, each written as Parquet and read again; what a stage leaves is removed once the next is written."""
     ws = Workspace(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = ws.stage(docs, name)
+    docs, last = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        with workspaces_dropped():
+            docs = ws.stage(stage(spark, docs, sf_dir), name)
+        ws.drop(last)
+        last = docs
     return docs
