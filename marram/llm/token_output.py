@@ -20,7 +20,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,7 +33,7 @@ MAGIC, END = 0x42385332, b"\nS8BEND\n"
 #: Ids of a block, at most.
 BLOCK_IDS = 1 << 16
 #: Bytes that a worker remembers words and their ids in, over two generations.
-CACHE_BYTES = 40 << 20
+CACHE_BYTES = 24 << 20
 _HEAD = np.dtype([("entries", "<u4"), ("ids", "<u4"), ("words", "<u4"), ("escapes", "<u4"), ("start", "<u8"), ("open", "<u8")])
 _ENTRY = np.dtype([("doc_id", "<i8"), ("ids", "<u4"), ("words", "<u4"), ("flags", "<u4"), ("zero", "<u4")])
 _ESCAPE = np.dtype([("at", "<u4"), ("zero", "<u4"), ("value", "<u8")])
@@ -282,9 +281,7 @@ class Encoder:
             each = self._whole([raw[a:b].decode() for a, b in zip(off[:-1], off[1:], strict=True)])
             return np.array([i for x in each for i in x], np.uint32), np.r_[0, np.cumsum([len(x) for x in each])].astype(np.int64)
         starts, ends, plain = self._units(data, offsets)
-        code, h = pd.factorize(word_hashes(data, starts, ends, fold=False))
-        first = np.empty(len(h), np.int64)
-        first[code[::-1]] = np.arange(len(code))[::-1]
+        h, first, code = np.unique(word_hashes(data, starts, ends, fold=False), return_index=True, return_inverse=True)
         s, n = starts[first], ends[first] - starts[first]
         at, count = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
         known = self.young.find(h, data, s, n)
@@ -329,7 +326,7 @@ def encoder(path: str, cache_bytes: int = CACHE_BYTES) -> Encoder:
 _CODED = "doc_id long, n long, tie long, words binary, escapes binary"
 
 
-def _coder(path: str, end_id: int | None, cache_bytes: int, run_bytes: int = 4 << 20):
+def _coder(path: str, end_id: int | None, cache_bytes: int, run_bytes: int = 1 << 20):
     def code(batches):
         known = encoder(path, cache_bytes)
         end = np.array([] if end_id is None else [end_id], np.uint32)
