@@ -201,7 +201,7 @@ r as (select *, row_number() over (partition by query order by round(cos, 6) des
 def cosine_topk(spark, sf):
     e = read(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v")).withColumn("n", T.l2_norm(F.col("v")))
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("qv"), F.col("n").alias("qn"))
-    s = e.join(F.broadcast(q), F.col("vec_id") != F.col("query")).select("query", "vec_id", F.round(T.dot(F.col("v"), F.col("qv")) / (F.col("n") * F.col("qn")), 6).alias("cos"))
+    s = e.join(F.broadcast(q), F.col("vec_id") != F.col("query")).select("query", "vec_id", F.round(F.when((F.col("n") > 0) & (F.col("qn") > 0), T.dot(F.col("v"), F.col("qv")) / (F.col("n") * F.col("qn"))).otherwise(0.0), 6).alias("cos"))
     return S.ranked(s, "cos", "vec_id", ["query"]).where("rank <= 5")
 
 
