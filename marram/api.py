@@ -74,10 +74,8 @@ def doc_links(docs: DataFrame) -> DataFrame:
 
 def doc_section(docs: DataFrame, heading: str) -> DataFrame:
     """The sections whose heading path comes closest to `heading` (titles joined by ' > ')."""
-    want = [h.strip().lower() for h in heading.split(">")]
-    parts = F.transform(F.split(F.lower("path_of"), " > "), F.trim)
-    same = sum((F.coalesce(F.get(parts, F.lit(i)) == w, F.lit(False)).cast("int") for i, w in enumerate(want)), F.lit(0))
-    score = 1.5 * same + 3 * T.jaccard(parts, F.array(*map(F.lit, want))) + 2 * (F.element_at(parts, -1) == want[-1]).cast("int") - 0.5 * F.abs(F.size(parts) - len(want))
+    want = F.array(*(F.lit(h.strip().lower()) for h in heading.split(">")))
+    score = S.heading_path_score(F.transform(F.split(F.lower("path_of"), " > "), F.trim), want)
     best = _sections(docs).withColumn("score", score).where("score >= 2")
     return best.select("doc", "line", "end_line", "title", "score").orderBy(F.desc("score"), "doc", "line")
 

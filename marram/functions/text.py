@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -103,6 +106,64 @@ ROUTES = [
 ]
 
 
+# The same in Korean, in the same order; these stand without word boundaries.
+ROUTES_KOREAN = [
+    ("change", "수정|변경|추가|삭제|리팩토링|버그|패치"),
+    ("explore", "찾|검색|어디|정의|사용|호출|추적|탐색"),
+    ("write", "생성|만들|작성|스캐폴드|템플릿"),
+    ("explore", "읽|보기|미리보기|내용|코드|비교"),
+    ("manage", "상태|되돌리|재실행|인덱스|관리"),
+    ("understand", "이해|분석|설명|구조|아키텍처|요약"),
+]
+
+
+@dataclass(frozen=True)
+class SeedQuery:
+    """A symbol query: terms, the kinds and the file that it is limited to, its scope, and whether usages are asked for."""
+
+    terms: tuple[str, ...] = ()
+    kinds: tuple[str, ...] = ()
+    file: str | None = None
+    scope: str | None = None
+    usages: bool = False
+
+    def matches(self, name: Column, kind: Column, path: Column) -> Column:
+        """Symbols of the kinds, in the file (any part of its path), whose names hold a term (all, without terms)."""
+        out = F.lit(True)
+        if self.kinds:
+            out = out & kind.isin(list(self.kinds))
+        if self.file:
+            out = out & F.contains(path, F.lit(self.file))
+        hits = [F.contains(F.lower(name), F.lit(t.lower())) for t in self.terms]
+        return out & reduce(or_, hits) if hits else out
+
+
+#: Kinds that a prefix of a symbol query stands for.
+SEED_KINDS = {"function": ("function", "method"), "class": ("class",)}
+
+
+def seed_query(query: str) -> SeedQuery:
+    """Reads function:, class:, in:, scope: and usages: from a query; what follows the first two and the last is a term."""
+    terms, kinds, found = [], [], {}
+    for word in query.split():
+        key, colon, rest = word.partition(":")
+        if colon and key in SEED_KINDS:
+            kinds += SEED_KINDS[key]
+        elif colon and key == "usages":
+            found["usages"] = True
+        elif colon and key in ("in", "scope"):
+            if key == "in":
+                found["file"] = rest
+            elif rest in ("local", "project"):
+                found["scope"] = rest
+            continue
+        else:
+            rest = word
+        if rest:
+            terms.append(rest)
+    return SeedQuery(tuple(terms), tuple(kinds), **found)
+
+
 def _first(pairs: list[tuple[Column, str]], otherwise: str) -> Column:
     out = None
     for test, value in pairs:
@@ -116,7 +177,8 @@ def query_intent(query: Column) -> Column:
 
 
 def intent_route(text: Column) -> Column:
-    return _first([(F.coalesce(F.lower(text), F.lit("")).rlike(rf"\b({words})\b"), route) for route, words in ROUTES], "understand")
+    t = F.coalesce(F.lower(text), F.lit(""))
+    return _first([(t.rlike(rf"\b({words})\b|{korean}"), route) for (route, words), (_, korean) in zip(ROUTES, ROUTES_KOREAN, strict=True)], "understand")
 
 
 def has_path(query: Column) -> Column:

@@ -228,3 +228,12 @@ def insert_at(text: Column, line: int, added: str) -> Column:
     """text with `added` as line `line` (from 1; one past the last appends)."""
     ls = F.split(text, "\n")
     return F.array_join(F.concat(F.slice(ls, F.lit(1), F.lit(line - 1)), F.array(F.lit(added)), F.slice(ls, F.lit(line), F.greatest(F.size(ls) - line + 1, F.lit(0)))), "\n")
+
+
+#: Bytes from which deleting a file needs its content's hash.
+GUARDED_BYTES = 10_000
+
+
+def may_delete(size: Column, content_hash: Column, confirmed: Column, force: Column) -> Column:
+    """Whether a file may go: small, forced, or confirmed by the hash of its content."""
+    return force | (size <= GUARDED_BYTES) | F.coalesce(content_hash == confirmed, F.lit(False))

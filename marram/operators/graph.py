@@ -205,3 +205,34 @@ def mermaid(nodes: DataFrame, edges: DataFrame, *, most_nodes: int = 12, most_ed
     inside = edges.where(F.col("src").isin(names) & F.col("dst").isin(names)).select("src", "dst").distinct().orderBy("src", "dst").limit(most_edges)
     lines = [f'  {at[n]}["{n}"]' for n in names] + [f"  {at[r['src']]} --> {at[r['dst']]}" for r in inside.collect()]
     return "\n".join(["graph TD", *lines])
+
+
+def insights(ranks: DataFrame, *, hot: int, most: float = 0.8, nodes: int = 20, spots: int = 5) -> DataFrame:
+    """(kind, severity, node, confidence) over ranks (node, rank): nodes that nearly all rank gathers in, a graph of over `nodes`
+    nodes, and over `spots` hot spots."""
+    god = ranks.where(F.col("rank") > most).select(F.lit("architecture").alias("kind"), F.lit("high").alias("severity"), F.col("node").cast("string").alias("node"), F.lit(0.9).alias("confidence"))
+    wide = ranks.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > nodes).select(F.lit("risk").alias("kind"), F.lit("medium").alias("severity"), F.lit(None).cast("string").alias("node"), F.lit(0.8).alias("confidence"))
+    out = god.unionByName(wide)
+    return out.unionByName(ranks.agg(F.count(F.lit(1))).select(F.lit("maintenance").alias("kind"), F.lit("medium").alias("severity"), F.lit(None).cast("string").alias("node"), F.lit(0.85).alias("confidence"))) if hot > spots else out
+
+
+def call_signals(spark: SparkSession, edges: DataFrame, entries: DataFrame, *, depth: int = 20) -> DataFrame:
+    """(node, depth, n_in, n_out, entry): distance from the nearest entry (node) and degrees of all nodes reached."""
+    near = bfs(spark, edges, entries, depth=depth).unionByName(entries.select("node", F.lit(0).cast("long").alias("depth")))
+    near = near.groupBy("node").agg(F.min("depth").alias("depth"))
+    return near.join(degrees(edges), "node", "left").select("node", "depth", F.coalesce("n_in", F.lit(0)).alias("n_in"), F.coalesce("n_out", F.lit(0)).alias("n_out"), (F.col("depth") == 0).alias("entry"))
+
+
+def with_files(edges: DataFrame, files: DataFrame, end: str = "src") -> DataFrame:
+    """Edges with the columns of files (named as the edges' `end`) that their end lies in; others are left out."""
+    return edges.join(files, end)
+
+
+def unresolved(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """Edges whose target (dst) is no known one."""
+    return edges.join(known.select("dst").distinct(), "dst", "left_anti").select("src", "dst")
+
+
+def symbols_of_files(symbols: DataFrame) -> DataFrame:
+    """(path, kind, n, first): the symbols (path, kind, name) of each file by kind, and the first name."""
+    return symbols.groupBy("path", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("first"))

@@ -26,35 +26,56 @@ class ScoutOptions:
     snippet: int = 240
 
 
-def scout(files: DataFrame, query: str, options: ScoutOptions = ScoutOptions()) -> DataFrame:
-    """(path, score, matches, preview, rank) over files (path, text, age_days).
-
-    Path filters reach the scan; one narrow pass counts query tokens; the best candidates by BM25 and file name go on to signals,
-    the core gate (a literal match or a name), deduplication by preview and the final rank.
+def scout(files: DataFrame, query: str, options: ScoutOptions = ScoutOptions(), *, symbols: DataFrame | None = None, comments: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
+    """(path, score, matches, preview, rank) over files (path, text, age_days), with symbols (path, name), comments (path, text) and
+    dependency edges (src, dst: paths) where they are at hand.
+
+    Path filters reach the scan; one narrow pass counts query tokens and literal matches. Candidates are files with a query token,
+    a literal match, a keyword in their name or a symbol that holds one; those with a name or symbol come before the cap, then the
+    best by BM25. On the candidates all seven signals are weighed; then come the core gate (a literal match, a name or a symbol),
+    deduplication by preview and the final rank. A query without keywords finds nothing.
     """
     keywords = T.query_tokens(query)
     kept = files.where(T.path_filter(F.col("path"), options.include, options.exclude))
     if options.types:
         kept = kept.where(T.extension(F.col("path")).isin([t if t.startswith(".") else f".{t}" for t in options.types]))
-    pattern = "(?i)(" + "|".join(_escaped(k) for k in keywords) + ")"
-    hit_lines = F.filter(F.split("text", "\r?\n"), lambda x: x.rlike(pattern))
+    pattern = "(?i)(" + "|".join(_escaped(k) for k in keywords) + ")" if keywords else "(?!)"
+    hit_lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\r?\n"), lambda x: x.rlike(pattern))
     kept = kept.withColumn("lines", T.line_count(F.col("text"))).withColumn("hits", F.least(F.size(hit_lines), F.lit(10))).withColumn("preview", T.truncated(F.coalesce(F.get(hit_lines, F.lit(0)), F.lit("")), options.snippet))
-    c = S.bm25(kept, query, "path", keep=["lines", "hits", "preview", "age_days"]).orderBy(F.desc("score"), "path").limit(options.most_candidates)
-    name = S.filename_signal(F.col("path"), keywords)
+    c = S.bm25(kept, query, "path", keep=["lines", "hits", "preview", "age_days"], every=True).withColumn("name", S.filename_signal(F.col("path"), keywords))
+    c = _with(c, S.symbol_signal(symbols, keywords).where("symbol > 0") if symbols is not None and keywords else None, "symbol")
+    core = (F.col("name") > 0) | (F.col("symbol") > 0)
+    c = c.where((F.col("score") > 0) | (F.col("hits") > 0) | core).orderBy(core.desc(), F.desc("score"), "path").limit(options.most_candidates)
+    c = cut(c, "candidates")  # most_candidates rows; the signals below read their paths
+    near = F.broadcast(c.select("path").distinct())
+    c = _with(c, S.comment_signal(comments.join(near, "path", "left_semi"), keywords) if comments is not None and keywords else None, "comment")
+    stem = F.regexp_replace("path", r"\.(test|spec)(\.[^./]+)$", "$2")
+    c = _with(c, files.where(F.col("path").rlike(r"\.(test|spec)\.[^./]+$")).select(stem.alias("path")).join(near, "path", "left_semi").distinct().withColumn("tested", F.lit(1.0)), "tested")
+    c = _with(c, edges.select("src", F.col("dst").alias("path")).join(near, "path", "left_semi").groupBy("path").agg(F.countDistinct("src").alias("n_in")) if edges is not None else None, "n_in")
     signals = {
         "content": S.normalized_signal(F.col("score"), 100, F.col("lines")),
-        "filename": S.normalized_signal(name, 100),
+        "filename": S.normalized_signal(F.col("name"), 100),
+        "symbol": S.normalized_signal(F.col("symbol"), 100),
+        "comment": S.normalized_signal(F.col("comment"), 100),
+        "test": F.col("tested"),
         "recency": S.recency_signal(F.col("age_days")),
-        "outbound": S.outbound_signal(F.lit(0)),
+        "outbound": S.outbound_signal(F.col("n_in")),
     }
     total = S.hybrid_total(options.intent, signals, F.col("score"), F.col("hits"))
-    d = c.withColumn("total", total).withColumn("named", name > 0).where((F.col("total") > 0) & ((F.col("hits") > 0) | F.col("named")))
+    d = c.withColumn("total", total).where((F.col("total") > 0) & ((F.col("hits") > 0) | core))
     # equal previews count once; without a preview the path tells rows apart
     d = S.first_by(d.withColumn("__k", F.when(F.col("preview") != "", F.col("preview")).otherwise(F.col("path"))), ["__k"], [F.desc("total"), "path"])
     d = d.select("path", F.col("total").alias("score"), F.col("hits").cast("long").alias("matches"), "preview")
     return S.top_k(d, options.most_results, tie="path")
 
 
+def _with(rows: DataFrame, signal: DataFrame | None, name: str) -> DataFrame:
+    """rows with the signal of their path as a number, 0 where there is none."""
+    if signal is None:
+        return rows.withColumn(name, F.lit(0.0))
+    return rows.join(signal.select("path", F.col(name).cast("double").alias(name)), "path", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+
+
 def _escaped(word: str) -> str:
     import re
 

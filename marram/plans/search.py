@@ -50,14 +50,8 @@ def trigram_search(spark, sf):
     return S.trigram_search(documents(spark, sf), QUERY).orderBy(F.desc("score"), "doc_id").limit(20).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(f"with p as (select doc_id, unnest(list_distinct({TOK})) as term from documents) select term, count(*) as df from p group by term having count(*) >= 20")
-def doc_frequency(spark, sf):
-    return S.postings(documents(spark, sf)).groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df >= 20")
-
-
 @query(f"with p as (select doc_id, unnest(list_distinct({TOK})) as term from documents) select term, count(*) as df from p group by term")
-def document_frequencies(spark, sf):
-    """Every term, rare ones too; `doc_frequency` has those of 20 documents or more."""
+def doc_frequency(spark, sf):
     return S.postings(documents(spark, sf)).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
@@ -80,23 +74,13 @@ def bm25_filename_depth(spark, sf):
     return d.withColumn("score", total).orderBy(F.desc("score"), "path").limit(20).select("path", F.round("score", 6).alias("score"))
 
 
-@query(f"""with d as (select doc_id, {TOK} as t from documents), l as (select *, len(t) as n from d), s as (select count(*) as c, avg(n) as a from l),
-p as (select doc_id, n, unnest(t) as term from l), tf as (select doc_id, any_value(n) as n, term, count(*) as tf from p group by doc_id, term), df as (select term, count(*) as df from tf group by term),
-q as (select item_id, unnest(list_slice({TOK}, 1, 5)) as term from benchmark),
-b as (select item_id, doc_id, sum(ln((c - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * greatest(n, 1) / a))) as score from q join tf using (term) join df using (term), s group by item_id, doc_id),
-r as (select *, row_number() over (partition by item_id order by round(score, 6) desc, doc_id) as rank from b) select item_id, doc_id, round(score, 6) as score, rank from r where rank <= 3""")
-def bm25_multiquery(spark, sf):
-    q = read(spark, sf, "benchmark").select("item_id", F.explode(F.slice(T.tokens(F.col("text")), 1, 5)).alias("term"))
-    return S.ranked(S.bm25_batch(documents(spark, sf), q).withColumn("score", F.round("score", 6)), by=["item_id"]).where("rank <= 3").select("item_id", "doc_id", "score", "rank")
-
-
 @query(f"""with d as (select doc_id, {TOK} as t from documents), l as (select *, len(t) as n from d), s as (select count(*) as c, avg(n) as a from l),
 p as (select doc_id, n, unnest(t) as term from l), tf as (select doc_id, any_value(n) as n, term, count(*) as tf from p group by doc_id, term), df as (select term, count(*) as df from tf group by term),
 q as (select item_id, unnest({TOK}) as term from benchmark),
 b as (select item_id, doc_id, sum(ln((c - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * greatest(n, 1) / a))) as score from q join tf using (term) join df using (term), s group by item_id, doc_id),
 r as (select *, row_number() over (partition by item_id order by round(score, 6) desc, doc_id) as rank from b) select item_id, doc_id, round(score, 6) as score, rank from r where rank <= 3""")
-def bm25_whole_queries(spark, sf):
-    """`bm25_multiquery` with all tokens of each item, repeats counted, not the first five."""
+def bm25_multiquery(spark, sf):
+    """All tokens of each item, repeats counted."""
     q = read(spark, sf, "benchmark").select("item_id", F.explode(T.tokens(F.col("text"))).alias("term"))
     return S.ranked(S.bm25_batch(documents(spark, sf), q).withColumn("score", F.round("score", 6)), by=["item_id"]).where("rank <= 3").select("item_id", "doc_id", "score", "rank")
 
@@ -218,21 +202,12 @@ def rrf_fusion(spark, sf):
     return S.reciprocal_rank_fusion(a, b, "vec_id").select("vec_id", F.round("rrf", 6).alias("rrf"))
 
 
-@query(f"""with t as (select item_id, list_distinct({TOK}) as t from benchmark), p as (select a.item_id as a, b.item_id as b, len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t)))::double as j from t a join t b on a.item_id < b.item_id)
-select a, b, round(j, 6) as j from p where j >= 0.2""")
-def jaccard_pairs(spark, sf):
-    """Each pair of items of the benchmark; `jaccard_documents` compares the documents."""
-    t = read(spark, sf, "benchmark").select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("t"))
-    a, b = t.select(F.col("item_id").alias("a"), F.col("t").alias("ta")), t.select(F.col("item_id").alias("b"), F.col("t").alias("tb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", T.jaccard(F.col("ta"), F.col("tb")).alias("j")).where("j >= 0.2").select("a", "b", F.round("j", 6).alias("j"))
-
-
-@query(f"""with t as (select doc_id, list_distinct({TOK}) as t from documents), p as (select a.doc_id as a, b.doc_id as b, len(list_intersect(a.t, b.t)) as c, len(a.t) as m, len(b.t) as n from t a join t b on a.doc_id < b.doc_id where len(a.t) >= 0.2 * len(b.t) and len(b.t) >= 0.2 * len(a.t))
+@query(f"""with t as (select doc_id, list_distinct({TOK}) as t from documents), p as (select a.doc_id as a, b.doc_id as b, len(list_intersect(a.t, b.t)) as c, len(a.t) as m, len(b.t) as n from t a join t b on a.doc_id <> b.doc_id where a.doc_id % 100 = 0 and len(a.t) >= 0.2 * len(b.t) and len(b.t) >= 0.2 * len(a.t))
 select a, b, round(c / (m + n - c)::double, 6) as j from p where m + n > c and c / (m + n - c)::double >= 0.2""")
-def jaccard_documents(spark, sf):
-    """Each pair of documents, none left out: the work grows with the square of their number."""
+def jaccard_pairs(spark, sf):
+    """Each document whose id is divisible by 100 against all others, in blocks."""
     t = documents(spark, sf).select("doc_id", F.array_distinct(T.tokens(F.col("text"))).alias("t"))
-    return S.jaccard_join(t, "doc_id", "t", 0.2).select("a", "b", F.round("j", 6).alias("j"))
+    return S.jaccard_search(t.where("doc_id % 100 = 0"), t, "doc_id", "t", 0.2).select("a", "b", F.round("j", 6).alias("j"))
 
 
 @query()
