@@ -1,6 +1,7 @@
 """Token-ID output (operator 10): Simple-8b word-aligned blocks in binary files, written and read by Spark's own sinks and sources.
 
-Each document's ids are packed where its text lies, into 64-bit words of its own; only packed words are dealt by doc_id. A file
+Each document's ids are packed where its text lies, into 64-bit words of its own; only packed words are dealt, by ranges of
+doc_id whose bounds come from quantiles. A file
 is blocks one after another, each ended by the eight bytes END. A block (little-endian):
   8 bytes   u32 MAGIC, u32 mask: a byte by which all that follows is XORed, chosen so that END occurs in no block
   header    u32 entries, ids, words, escapes, then u64 start (ids of the file before this block), u64 open (ids of the first
@@ -34,6 +35,8 @@ MAGIC, END = 0x42385332, b"\nS8BEND\n"
 BLOCK_IDS = 1 << 16
 #: Bytes that a worker remembers words and their ids in, over two generations.
 CACHE_BYTES = 24 << 20
+#: Text of a file: the session's shuffle partitions are used where each gets LEAST_BYTES, and more for more than FILE_BYTES each.
+LEAST_BYTES, FILE_BYTES, MOST_FILES = 16 << 20, 256 << 20, 20_000
 _HEAD = np.dtype([("entries", "<u4"), ("ids", "<u4"), ("words", "<u4"), ("escapes", "<u4"), ("start", "<u8"), ("open", "<u8")])
 _ENTRY = np.dtype([("doc_id", "<i8"), ("ids", "<u4"), ("words", "<u4"), ("flags", "<u4"), ("zero", "<u4")])
 _ESCAPE = np.dtype([("at", "<u4"), ("zero", "<u4"), ("value", "<u8")])
@@ -323,11 +326,20 @@ def encoder(path: str, cache_bytes: int = CACHE_BYTES) -> Encoder:
     return _encoders[path, cache_bytes]
 
 
-_CODED = "doc_id long, n long, tie long, words binary, escapes binary"
+_CODED = "doc_id long, n long, tie long, words binary, escapes binary, part int"
 
 
-def _coder(path: str, end_id: int | None, cache_bytes: int, run_bytes: int = 1 << 20):
+def parts(ids: np.ndarray, bounds: np.ndarray, first: int) -> np.ndarray:
+    """The range that each id is dealt to: as many bounds are below it. An id that fills several ranges, and is several bounds
+    itself, goes to each of them in turn, `first` being the number of rows before."""
+    low, high = np.searchsorted(bounds, ids, "left"), np.searchsorted(bounds, ids, "right")
+    turn = (first + np.arange(len(ids))) % (high - low + 1)
+    return np.where(high - low > 1, low + turn, low).astype(np.int32)
+
+
+def _coder(path: str, end_id: int | None, cache_bytes: int, bounds: np.ndarray, run_bytes: int = 1 << 20):
     def code(batches):
+        rows = 0
         known = encoder(path, cache_bytes)
         end = np.array([] if end_id is None else [end_id], np.uint32)
         for batch in batches:
@@ -347,7 +359,10 @@ def _coder(path: str, end_id: int | None, cache_bytes: int, run_bytes: int = 1 <
                     mine["at"] -= lo[d]
                     escapes[d] = mine.tobytes()
                 n, tie = np.diff(lo), [zlib.crc32(w) for w in words]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(tie, pa.int64()), pa.array(words, pa.binary()), pa.array(escapes, pa.binary())], names=["doc_id", "n", "tie", "words", "escapes"])
+                ids = batch.column(0).slice(i, j - i)
+                part = np.where(ids.is_valid().to_numpy(zero_copy_only=False), parts(ids.fill_null(0).to_numpy(), bounds, rows), 0)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(tie, pa.int64()), pa.array(words, pa.binary()), pa.array(escapes, pa.binary()), pa.array(part, pa.int32())], names=["doc_id", "n", "tie", "words", "escapes", "part"])
+                rows += j - i
                 i = j
 
     return code
@@ -405,18 +420,20 @@ def _writer(block_ids: int):
     return write
 
 
-def write_token_files(docs: DataFrame, out: str, tokenizer: str, ws: Workspace, *, end_id: int | None = 2, block_ids: int = BLOCK_IDS, cache_bytes: int = CACHE_BYTES) -> None:
+def write_token_files(docs: DataFrame, out: str, tokenizer: str, *, end_id: int | None = 2, block_ids: int = BLOCK_IDS, cache_bytes: int = CACHE_BYTES, least_bytes: int = LEAST_BYTES, file_bytes: int = FILE_BYTES) -> None:
     """Encodes whole texts (null: empty) and writes them to files under `out`, in ascending doc_id order over the files in name
-    order (null first; rows that share an id by a checksum of their ids, so one id's rows may lie in several files). Texts are
-    encoded and packed where they lie and staged; the packed words are dealt by ranges. Spark's committer makes a retried
-    task's file the only one. An empty table gives no blocks."""
-    coded = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_coder(tokenizer, end_id, cache_bytes), _CODED)
-    coded = ws.stage(coded.withColumn("row", F.monotonically_increasing_id()), "coded")
-    keys = ["doc_id", "tie", "row"]
-    dealt = coded.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "n", "words", "escapes")
+    order (null first). Rows that share an id are ordered by a checksum of their ids within a file, and fill several files where
+    they are many. Texts are encoded and packed where they lie, and the packed words dealt by ranges of doc_id. Spark's committer
+    makes a retried task's file the only one. An empty table gives no blocks."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = min(MOST_FILES, max(1, -(-size // file_bytes), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // least_bytes))))
+    bounds = (rows.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 10 * n))).first()[0] or []) if n > 1 else []
+    coded = rows.mapInArrow(_coder(tokenizer, end_id, cache_bytes, np.array(sorted(bounds), np.int64)), _CODED)
+    dealt = coded.repartitionById(n, "part").sortWithinPartitions("doc_id", "tie").select("doc_id", "n", "words", "escapes")
     blocks = dealt.mapInArrow(_writer(block_ids), "block binary")
     blocks.select(F.col("block").cast("string")).write.option("lineSep", END.decode()).text(out)  # the sink writes bytes as they are
-    ws.drop(coded)
 
 
 _ROWS = "file long, doc_id long, at long, n_tokens long, ids_crc32 long, piece long"
@@ -489,9 +506,9 @@ def read_token_files(spark: SparkSession, path: str, ws: Workspace | None = None
     return every.join(checked_broadcast(files, 16), "file").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def token_output(spark: SparkSession, docs: DataFrame, tokenizer: str, *, end_id: int | None = 2, block_ids: int = BLOCK_IDS, cache_bytes: int = CACHE_BYTES) -> DataFrame:
+def token_output(spark: SparkSession, docs: DataFrame, tokenizer: str, *, end_id: int | None = 2, block_ids: int = BLOCK_IDS, cache_bytes: int = CACHE_BYTES, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """Writes docs as token files in the shared folder and reads them back: one row for each row of docs (see the functions above)."""
     bounded_batches(spark)
     ws = Workspace(spark, "tokens")
-    write_token_files(docs, path := ws.path("files"), tokenizer, ws, end_id=end_id, block_ids=block_ids, cache_bytes=cache_bytes)
+    write_token_files(docs, path := ws.path("files"), tokenizer, end_id=end_id, block_ids=block_ids, cache_bytes=cache_bytes, least_bytes=least_bytes)
     return read_token_files(spark, path, ws)

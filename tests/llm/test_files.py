@@ -43,6 +43,12 @@ def test_no_block_holds_the_separator():
     assert T.END not in raw and (T.decoded(raw)[2] == T.unpack(words)).all()
 
 
+def test_an_id_of_many_rows_goes_to_several_ranges():
+    bounds = np.array([3, 7, 7, 7, 9])
+    assert T.parts(np.array([1, 3, 4, 8, 9, 10]), bounds, 5).tolist() == [0, 0, 1, 4, 4, 5]
+    assert T.parts(np.full(8, 7), bounds, 2).tolist() == [3, 4, 1, 2, 3, 4, 1, 2]
+
+
 def test_crc32_of_both():
     r = random.Random(1)
     for _ in range(50):
@@ -88,7 +94,7 @@ def test_token_output(spark):
     twice = T.token_output(spark, spark.createDataFrame([(1, "a"), (1, "a"), (None, "b")], "doc_id long, text string"), PATH).orderBy("start").collect()
     assert [(r["doc_id"], r["n_tokens"]) for r in twice] == [(None, 2), (1, 2), (1, 2)]
     many = spark.createDataFrame([(k // 7, "w " * (k % 50)) for k in range(700)] + [(50, "word x " * 30_000)], "doc_id long, text string")
-    rows = T.token_output(spark, many, PATH).orderBy("start", "n_tokens").collect()
+    rows = T.token_output(spark, many.repartition(3), PATH, least_bytes=5000).orderBy("start", "n_tokens").collect()
     assert [r["doc_id"] for r in rows] == sorted(r["doc_id"] for r in rows) and len(rows) == 701
     assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(rows, rows[1:])) and max(r["n_tokens"] for r in rows) > 50_000
 
