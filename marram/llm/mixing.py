@@ -157,7 +157,8 @@ def _plan(spark: SparkSession, docs: DataFrame, ws: Workspace, weights: list[flo
         if k == 1:
             p = p.withColumn("__all", (F.col("__room") > 0) & F.col("r").isNull())
         if k <= RANGES:
-            p = p.withColumn("__range", F.coalesce("r", "__range")).withColumn("__room", F.coalesce("left", F.lit(0.0)))
+            # a range that is not cut further ends at its own beginning
+            p = p.withColumn("__range", F.coalesce("r", F.shiftleft("__range", RANGE_BITS if k > 1 else 0))).withColumn("__room", F.coalesce("left", F.lit(0.0)))
     one = F.struct(F.col("r").alias("h"), F.round(F.col("left") * F.col("m") / F.col("tokens")).cast("long").alias("k"), F.col("m").alias("m"))
     cut = F.when(F.col("r").isNotNull(), F.col("r")).when(F.col("__all"), F.lit(1 << HASH_BITS)).otherwise(F.shiftleft("__range", HASH_BITS - RANGE_BITS * RANGES))
     told = F.when(F.col("r").isNotNull(), F.array(one)).otherwise(F.array().cast("array<struct<h:bigint,k:bigint,m:bigint>>"))

@@ -198,3 +198,12 @@ def test_mix_of_repeated_rows(spark):
     out = mixed(spark, df).collect()
     for s in ("a", "b", None):
         assert sum(len(x["text"].split()) for x in out if x["source"] == s) == sum(x["taken"] for x in got if x["source"] == s)
+
+
+def test_mix_where_the_cut_falls_between_documents(spark):
+    """Equal sizes, and a share that is a whole number of documents: the last range is not looked into."""
+    rows = [(k, "a" if k % 3 else "b", " ".join(["w"] * 60)) for k in range(40)]
+    got = mix(spark, spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    for s in "ab":
+        mine = [x for x in got if x["source"] == s]
+        assert abs(sum(x["taken"] for x in mine) - mine[0]["target"]) <= 30, s
