@@ -122,7 +122,7 @@ def plan_change(spark: SparkSession, index: dict[str, DataFrame], path: str, fir
 def references(index: dict[str, DataFrame], files: DataFrame, name: str) -> DataFrame:
     """(path, line, text) of lines that name a symbol, in files that define or import it."""
     homes = index["symbols"].where(F.col("name") == name).select("path").unionByName(index["imports"].where((F.col("imported") == name) | (F.col("local") == name)).select("path")).distinct()
-    return S.line_matches(files.join(homes, "path", "left_semi"), rf"\b{name}\b", "path", most=None)
+    return S.line_matches(files.join(homes, "path", "left_semi"), T.ascii_words(rf"\b{name}\b"), "path", most=None)
 
 
 def hot_spots(index: dict[str, DataFrame], most: int = 30) -> DataFrame:

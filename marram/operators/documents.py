@@ -116,9 +116,9 @@ def html_references(pages: DataFrame, id_col: str = "page_id", html_col: str = "
     out = None
     for tag, attribute in (("a", "href"), ("link", "href"), ("script", "src"), ("img", "src")):
         # a quoted or bare value; the tag's own matches first, then the value of each
-        tags = F.regexp_extract_all(html_col, F.lit(rf"(?i)(<{tag}\b[^>]*\b{attribute}\s*=\s*(?:\"[^\"]+\"|'[^']+'|[^\s>]+)[^>]*>)"), F.lit(1))
+        tags = F.regexp_extract_all(html_col, F.lit(T.ascii_words(rf"(?i)(<{tag}\b[^>]*\b{attribute}\s*=\s*(?:\"[^\"]+\"|'[^']+'|[^\s>]+)[^>]*>)")), F.lit(1))
         part = pages.select(id_col, F.lit(tag).alias("kind"), F.explode(tags).alias("t"))
-        value = F.regexp_extract("t", rf"(?i)^<{tag}\b[^>]*\b{attribute}\s*=\s*(\"[^\"]+\"|'[^']+'|[^\s>]+)", 1)
+        value = F.regexp_extract("t", T.ascii_words(rf"(?i)^<{tag}\b[^>]*\b{attribute}\s*=\s*(\"[^\"]+\"|'[^']+'|[^\s>]+)"), 1)
         part = part.select(id_col, "kind", F.trim(F.regexp_replace(value, "^[\"']|[\"']$", "")).alias("href")).where("href <> ''")
         out = part if out is None else out.unionByName(part)
     return out
@@ -126,7 +126,7 @@ def html_references(pages: DataFrame, id_col: str = "page_id", html_col: str = "
 
 def html_headings(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(id, level, title) of h1 to h6."""
-    d = pages.select(id_col, F.explode(F.regexp_extract_all(html_col, F.lit(r"(?is)(<h([1-6])\b[^>]*>.*?</h\2>)"), F.lit(1))).alias("t"))
+    d = pages.select(id_col, F.explode(F.regexp_extract_all(html_col, F.lit(T.ascii_words(r"(?is)(<h([1-6])\b[^>]*>.*?</h\2>)")), F.lit(1))).alias("t"))
     title = F.trim(F.regexp_replace(T.decoded(F.regexp_replace(F.regexp_extract("t", "(?is)^<h[1-6][^>]*>(.*)</h[1-6]>$", 1), "<[^>]+>", " ")), "[ \\t\\r\\n]+", " "))
     return d.select(id_col, F.substring("t", 3, 1).cast("int").alias("level"), title.alias("title")).where("title <> ''")
 
@@ -166,9 +166,9 @@ COMMON_WORDS = (
 def mentions(numbered: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, text, kind, line): symbols and paths that lines outside fences name, each with its first line."""
     d = outside_fences(numbered, id_col)
-    every = lambda p: F.regexp_extract_all("text", F.lit(p), F.lit(1))
+    every = lambda p: F.regexp_extract_all("text", F.lit(T.ascii_words(p)), F.lit(1))
     code = F.flatten(F.transform(every(r"`([^`]+)`"), lambda x: F.split(x, r"\s+")))
-    module = F.when(F.col("text").rlike(r"^\s*(import|export)\b"), F.concat(every(r"\bfrom\s+['\"]([^'\"]+)['\"]"), every(r"\bimport\s+['\"]([^'\"]+)['\"]"))).otherwise(F.array().cast("array<string>"))
+    module = F.when(F.col("text").rlike(T.ascii_words(r"^\s*(import|export)\b")), F.concat(every(r"\bfrom\s+['\"]([^'\"]+)['\"]"), every(r"\bimport\s+['\"]([^'\"]+)['\"]"))).otherwise(F.array().cast("array<string>"))
     plain = F.regexp_replace(F.regexp_replace("text", r"`[^`]+`|!\[[^\]]*\]\([^)]+\)|\[[^\]]+\]\([^)]+\)", " "), r"[#>*_-]{2,}", " ")
     worth = lambda x: F.length(x).between(3, 60) & ~x.rlike("^[0-9]+$") & ~F.lower(x).isin(COMMON_WORDS) & x.rlike(r"/|\.[A-Za-z0-9]+$|[A-Z]|_")
     words = F.filter(F.split(plain, r"[^A-Za-z0-9_./$#]+"), worth)

@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from marram.functions import text as T
 
 # What makes a line a claim, and of which strength.
-MUST = r"(?i)\b(must|shall|required|mandatory|not allowed|prohibited)\b|반드시|해야\s*한다|필수|금지|불가"
-SHOULD = r"(?i)\b(should|recommended|prefer|ideally)\b|권장|가능하면|되도록"
-NUMBER = r"(?i)\b\d+(?:\.\d+)?\s*(ms|s|sec|seconds|m|min|minutes|h|hr|hours|d|days|percent)\b|\d+(?:\.\d+)?\s*(초|분|시간|일|개월|퍼센트|%)"
+MUST = T.ascii_words(r"(?i)\b(must|shall|required|mandatory|not allowed|prohibited)\b|반드시|해야\s*한다|필수|금지|불가")
+SHOULD = T.ascii_words(r"(?i)\b(should|recommended|prefer|ideally)\b|권장|가능하면|되도록")
+NUMBER = T.ascii_words(r"(?i)\b\d+(?:\.\d+)?\s*(ms|s|sec|seconds|m|min|minutes|h|hr|hours|d|days|percent)\b|\d+(?:\.\d+)?\s*(초|분|시간|일|개월|퍼센트|%)")
 
 # Tags by words of the text and by directories of the path.
 TEXT_TAGS = {
-    "security": r"(?i)\b(auth|oauth|token|secret|encrypt|tls|jwt|password|credential|security)\b",
-    "data-loss": r"(?i)\b(delete|drop|purge|truncate|backup|restore|wipe|loss|data\s*loss)\b",
-    "payment": r"(?i)\b(payment|billing|invoice|refund|charge|settle|payout)\b",
+    "security": T.ascii_words(r"(?i)\b(auth|oauth|token|secret|encrypt|tls|jwt|password|credential|security)\b"),
+    "data-loss": T.ascii_words(r"(?i)\b(delete|drop|purge|truncate|backup|restore|wipe|loss|data\s*loss)\b"),
+    "payment": T.ascii_words(r"(?i)\b(payment|billing|invoice|refund|charge|settle|payout)\b"),
 }
 PATH_TAGS = {"security": "(?i)/(auth|security|crypto|secrets?)/", "data-loss": "(?i)/(backup|restore|migrations?)/", "payment": "(?i)/(billing|payment|checkout|refund)"}
 
@@ -73,7 +73,7 @@ def constraint(text: Column) -> Column:
     """A struct (label, value, unit) of the first form that a claim has: within / at most n unit, its Korean kin, comparison, assignment."""
     both = f"{UNITS}|{KO_UNITS}"
     forms = [
-        (rf"(?i)(.+?)\b(within|at most|no more than|less than|<=)\s*(\d+(?:\.\d+)?)\s*({UNITS})?", 3, 4),
+        (T.ascii_words(rf"(?i)(.+?)\b(within|at most|no more than|less than|<=)\s*(\d+(?:\.\d+)?)\s*({UNITS})?"), 3, 4),
         (rf"(?i)(.+?)(이내|이하|최대)\s*(\d+(?:\.\d+)?)\s*({KO_UNITS}|%)?", 3, 4),
         (rf"(?i)(.+?)\s*(<=|>=|<|>)\s*(\d+(?:\.\d+)?)\s*({both})?", 3, 4),
         (rf"(?i)(.+?)\s*=\s*(\d+(?:\.\d+)?)\s*({both})?", 2, 3),
