@@ -23,6 +23,10 @@ def same(spark, folder, name, **tables):
 TALK = [(1, 0, "user", "doñ index ó"), (1, 1, "user", "Èch éê"), (1, 2, "user", "éindex"), (1, 3, "user", "Ñ_é"), (1, 4, "user", None), (1, 5, "user", ""), (1, 6, "user", "ñfind it"), (1, 7, "user", "_find $A")], "conv_id long, turn long, role string, text string"
 
 
+def test_routes_know_ascii_words_only(spark, tmp_path):
+    assert [r[2] for r in same(spark, tmp_path, "intent_route", conversations=TALK)].count("manage") == 2
+
+
 def test_symbol_hints_know_ascii_words_only(spark, tmp_path):
     got = same(spark, tmp_path, "query_metrics", conversations=(TALK[0] + [(2, 0, "user", "Tion éé B")], TALK[1]))
     assert any(r[5] for r in got)
