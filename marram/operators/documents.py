@@ -182,13 +182,19 @@ def mentions(numbered: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def format_profile(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, newline, tabs, indent): crlf, lf or mixed; whether lines begin with tabs; the most frequent indent (least among equals)."""
+    """(id, newline, tabs, indent), a row for each row: crlf, lf or mixed (null without a text); whether lines begin with tabs; the
+    most frequent indent (least among equals) of lines that hold more than spaces."""
     crlf, lf = F.regexp_count(text_col, F.lit("\r\n")), F.regexp_count(text_col, F.lit("\n"))
-    newline = F.when(crlf == 0, "lf").when(crlf == lf, "crlf").otherwise("mixed")
-    ls = F.split(text_col, "\r?\n")
-    d = docs.select(id_col, newline.alias("newline"), F.exists(ls, lambda x: x.startswith("\t")).alias("tabs"), F.explode_outer(F.filter(F.transform(ls, lambda x: F.length(F.regexp_extract(x, "^( *)[^ ]", 1))), lambda n: n > 0)).alias("n"))
-    d = d.groupBy(id_col, "newline", "tabs", "n").agg(F.count("n").alias("k"))
-    return d.groupBy(id_col, "newline", "tabs").agg(F.max_by("n", F.struct("k", -F.coalesce("n", F.lit(0)))).alias("indent"))
+    newline = F.when(crlf == 0, "lf").when(crlf == lf, "crlf").when(crlf < lf, "mixed")
+    once = lambda x, f: F.transform(F.array(x), f)[0]
+    spaces = lambda ls: F.filter(F.transform(ls, lambda x: F.length(x) - F.length(F.ltrim(x))), lambda n: n > 0)
+    full = F.filter(F.split(text_col, "\r?\n"), lambda x: F.ltrim(x) != "")
+
+    def usual(ns):
+        counted = F.transform(F.array_distinct(ns), lambda n: F.struct(F.size(F.filter(ns, lambda m: m == n)).alias("k"), (-n).alias("n")))
+        return -F.array_max(counted)["n"]
+
+    return docs.select(id_col, newline.alias("newline"), F.exists(F.split(text_col, "\r?\n"), lambda x: x.startswith("\t")).alias("tabs"), once(spaces(full), usual).alias("indent"))
 
 
 def preview_lines(docs: DataFrame, query: str, most_lines: int = 3, most_chars: int = 240, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

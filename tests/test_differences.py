@@ -1,8 +1,11 @@
 """Queries against their SQL over rows that the small tables lack."""
 
+from datetime import datetime
+
 import duckdb
 
 from marram import catalogue
+from marram.operators import documents as D
 
 
 def same(spark, folder, name, **tables):
@@ -30,3 +33,14 @@ def test_routes_know_ascii_words_only(spark, tmp_path):
 def test_symbol_hints_know_ascii_words_only(spark, tmp_path):
     got = same(spark, tmp_path, "query_metrics", conversations=(TALK[0] + [(2, 0, "user", "Tion éé B")], TALK[1]))
     assert any(r[5] for r in got)
+
+
+def test_profiles_have_a_row_for_each_document(spark, tmp_path):
+    rows = [(1, None), (2, None), (3, None), (3, ""), (4, "a\nb"), (4, "a\nb"), (5, "a\nb\nc"), (5, "d\ne"), (6, "a\r\nb\nc"), (8, "one")]
+    assert len(same(spark, tmp_path, "format_profile", documents=([(*r, "s") for r in rows], "doc_id long, text string, source string"))) == 10
+
+
+def test_profiles_of_mixed_lines(spark):
+    rows = [(1, "a\r\n  b\n  c\n    d\n    \n    \n    "), (2, "a\n    b\n  c"), (3, "\tx\r\ny"), (3, None)]
+    got = [tuple(r) for r in D.format_profile(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert got == [(1, "mixed", False, 2), (2, "lf", False, 2), (3, "crlf", True, None), (3, None, None, None)]
