@@ -221,8 +221,9 @@ def preview_lines(docs: DataFrame, query: str, most_lines: int = 3, most_chars:
 
 
 def merged_ranges(ranges: DataFrame, by: list[str], start: str, end: str, gap: int = 1) -> DataFrame:
-    """(by, start, end): ranges that overlap or lie at most `gap` apart as one."""
-    w = Window.partitionBy(*by).orderBy(start, end)
+    """(by, start, end): ranges that overlap or lie at most `gap` apart as one. Rows without a start come last and join the last of
+    their group; equal rows are one, whatever their order."""
+    w = Window.partitionBy(*by).orderBy(F.asc_nulls_last(start), F.asc_nulls_last(end))
     d = ranges.withColumn("__m", F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     d = d.withColumn("__new", F.when(F.col("__m").isNull() | (F.col(start) > F.col("__m") + gap), 1).otherwise(0)).withColumn("__g", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return d.groupBy(*by, "__g").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__g")

@@ -44,3 +44,18 @@ def test_profiles_of_mixed_lines(spark):
     rows = [(1, "a\r\n  b\n  c\n    d\n    \n    \n    "), (2, "a\n    b\n  c"), (3, "\tx\r\ny"), (3, None)]
     got = [tuple(r) for r in D.format_profile(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     assert got == [(1, "mixed", False, 2), (2, "lf", False, 2), (3, "crlf", True, None), (3, None, None, None)]
+
+
+def test_ranges_without_a_start_or_an_end(spark, tmp_path):
+    at = lambda m: datetime(2024, 1, 1, 0, m)
+    rows = [(1, at(0), 1), (2, None, 1), (3, None, 1), (5, at(50), 1), (None, at(5), 1), (None, at(30), 1), (4, None, 2), (6, None, None), (None, at(0), 3), (7, at(0), 3)]
+    same(spark, tmp_path, "interval_merge", events=(rows, "event_id long, ts timestamp_ntz, user_id long"))
+
+
+def test_equal_ranges_are_merged(spark):
+    rows = [(i % 7, a, a + i % 3) for i in range(4000) for a in [(i * 37 % 601) * 5]]
+    want = {(k, v) for k in range(7) for v in range(3100) if any(r[0] == k and r[1] <= v <= r[2] for r in rows if abs(r[1] - v) < 4)}
+    got = spark.createDataFrame(rows + rows, "u long, a long, b long")
+    got = [tuple(r) for r in D.merged_ranges(got, ["u"], "a", "b").collect()]
+    assert {(u, v) for u, a, b in got for v in range(a, b + 1)} == want and len({(u, v) for u, a, _ in got for v in [a]}) == len(got)
+    assert not any(u == w and c <= a <= d + 1 and (a, b) != (c, d) for u, a, b in got for w, c, d in got)
