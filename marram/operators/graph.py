@@ -182,14 +182,28 @@ def ghost_methods(calls: DataFrame) -> DataFrame:
 
 def clusters(symbols: DataFrame, edges: DataFrame, seeds: DataFrame, *, colocated: int = 10, linked: int = 15) -> DataFrame:
     """(seed, relation, symbol, place): for seeds (seed), symbols (symbol, path) of the same file, and callers and callees by edges
-    (src, dst), each relation cut to its limit in name order."""
-    s = seeds.join(symbols.select(F.col("symbol").alias("seed"), "path"), "seed")
-    same = s.join(symbols, "path").where("symbol <> seed").select("seed", F.lit("colocated").alias("relation"), "symbol")
-    callers = seeds.join(edges, seeds["seed"] == edges["dst"]).select("seed", F.lit("caller").alias("relation"), F.col("src").alias("symbol"))
-    callees = seeds.join(edges, seeds["seed"] == edges["src"]).select("seed", F.lit("callee").alias("relation"), F.col("dst").alias("symbol"))
-    d = same.unionByName(callers).unionByName(callees).distinct()
-    d = d.withColumn("place", F.row_number().over(Window.partitionBy("seed", "relation").orderBy("symbol")).cast("long"))
-    return d.where(F.col("place") <= F.when(F.col("relation") == "colocated", colocated).otherwise(linked))
+    (src, dst), each relation cut to its limit in name order. A file hands on its first symbols only, one more than the limit (the
+    seed itself may be among them), so the work grows with symbols and edges, not with the square of a file."""
+    s = seeds.distinct().join(symbols.select(F.col("symbol").alias("seed"), "path"), "seed").distinct()
+    head = _first_of(symbols.select("path", "symbol").distinct(), ["path"], "symbol", colocated + 1)
+    same = s.join(head, "path").where("symbol <> seed").select("seed", "symbol").distinct()
+    callers = seeds.join(edges, seeds["seed"] == edges["dst"]).select("seed", F.col("src").alias("symbol")).distinct()
+    callees = seeds.join(edges, seeds["seed"] == edges["src"]).select("seed", F.col("dst").alias("symbol")).distinct()
+    out = None
+    for d, relation, most in ((same, "colocated", colocated), (callers, "caller", linked), (callees, "callee", linked)):
+        d = _first_of(d, ["seed"], "symbol", most)
+        d = d.select("seed", F.lit(relation).alias("relation"), "symbol", F.row_number().over(Window.partitionBy("seed").orderBy("symbol")).cast("long").alias("place"))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
+def _first_of(rows: DataFrame, by: list[str], order: str, most: int, parts: int = 64) -> DataFrame:
+    """The first `most` rows of each key in an order: those of `parts` shares of a key first, so that no task gets a whole large key."""
+    part = F.pmod(F.xxhash64(order), F.lit(parts))
+    for keys in ([*by, "__part"], by):
+        w = Window.partitionBy(*keys).orderBy(order)
+        rows = rows.withColumn("__part", part).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n", "__part")
+    return rows
 
 
 def rank_delta(spark: SparkSession, scoped: DataFrame, whole: DataFrame, *, rounds: int = 12) -> DataFrame:
