@@ -126,13 +126,28 @@ def role(rank: Column, n_in: Column | None = None, n_out: Column | None = None)
     return F.when((rank >= 0.15) | (n_in + n_out >= 15), "core").when((n_in >= 5) & (n_out >= 5), "integration").when(n_out > n_in, "utility").otherwise("peripheral")
 
 
-def overlapping(left: DataFrame, right: DataFrame, by: str, *, span: int = 64) -> DataFrame:
+def overlapping(left: DataFrame, right: DataFrame, by: str, *, span: int = 64, rows: int = 4096, packed: int = 256) -> DataFrame:
     """Pairs of rows (by, a, b) and (by, c, d) with a <= d and b >= c: an equi-join on the buckets that both ranges touch, each
-    pair taken in the first bucket they share."""
-    buckets = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / span), F.floor(F.col(e) / span)))
-    x, y = left.withColumn("__k", buckets("a", "b")), right.withColumn("__k", buckets("c", "d"))
-    first = F.greatest(F.floor(F.col("a") / span), F.floor(F.col("c") / span))
-    return x.join(y, [by, "__k"]).where((F.col("a") <= F.col("d")) & (F.col("b") >= F.col("c")) & (F.col("__k") == first)).drop("__k")
+    pair taken in the first bucket they share.
+
+    Rows of the right with equal ranges are packed, `packed` at most, and meet a left row at once; a bucket's left rows are dealt to
+    shares of about `rows`, each with the packs of the bucket, so that no task gets a whole hot key. The pairs themselves are as many
+    as they are: nothing but them grows with the square of a key."""
+    bucket = lambda v: F.floor(F.col(v) / span)
+    buckets = lambda s, e: F.explode(F.sequence(bucket(s), bucket(e)))
+    most = lambda d, *keys: d.groupBy(by, *keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    # written, so that a row's number stays the same if a task runs again
+    x, y = cut(left.withColumn("__k", buckets("a", "b")), "overlapping"), cut(right, "overlapping")
+    shares, packs = -(-most(x, "__k") // rows), -(-most(y, "c", "d") // packed)
+    number = lambda n: F.pmod(F.monotonically_increasing_id(), F.lit(n))
+    rest = [c for c in right.columns if c not in (by, "c", "d")]
+    y = y.withColumn("__p", number(packs)).groupBy(by, "c", "d", "__p").agg(F.collect_list(F.struct(F.lit(0).alias("__0"), *rest)).alias("__y")).drop("__p")
+    y = y.withColumn("__k", buckets("c", "d")).withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))))
+    x = x.withColumn("__s", number(shares))
+    first = F.greatest(bucket("a"), bucket("c"))
+    met = x.hint("merge").join(y, [by, "__k", "__s"]).where((F.col("a") <= F.col("d")) & (F.col("b") >= F.col("c")) & (F.col("__k") == first))
+    names = [by, *(c for c in left.columns if c != by), *(c for c in right.columns if c != by)]
+    return met.withColumn("__y", F.explode("__y")).select(*(F.col(f"__y.{c}").alias(c) if c in rest else F.col(c) for c in names))
 
 
 def index_status(edges: DataFrame, unresolved: DataFrame, *, stale_hours: float | None = None) -> DataFrame:

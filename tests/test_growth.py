@@ -1,7 +1,13 @@
 """What grows with the square of a group must be results only: rows that the plans make, and results over hot keys."""
 
+import inspect
+
+from pyspark.sql import functions as F
+
 from marram.operators import graph as G
 
+SMALL = {k: v for k, v in {"rows": 40, "packed": 16}.items() if k in inspect.signature(G.overlapping).parameters}
+
 
 def rows_made(spark, df):
     """The result, and the most rows that any operator of its plan put out."""
@@ -28,3 +34,21 @@ def test_clusters_of_a_large_file(spark):
     assert of(100, "colocated") == list(range(10)) and of(3, "colocated") == [0, 1, 2, *range(4, 11)] and of(n, "colocated") == [0]
     assert of(0, "colocated") == list(range(1, 11)) and of(7, "caller") == list(range(15)) and of(3, "callee") == [4, 7]
     assert {x[3] for x in got if x[:2] == (7, "caller")} == set(range(1, 16))
+
+
+def test_overlaps_of_a_hot_key(spark):
+    lefts = [(1, i, i % 90, i % 90 + 10) for i in range(600)] + [(1, 1, 1, 11), (2, 9, 8, 3), (3, 5, None, 4), (None, 1, 1, 2), (4, 6, 0, 0)]
+    rights = [(1, i, i % 30, i % 30 + 4) for i in range(200)] + [(1, 7, 7, 11)] * 40 + [(2, 8, 2, 9), (2, 7, 9, 2), (3, 1, 0, None), (None, 1, 1, 2), (4, 4, 0, 300), (4, 5, 1, 2)]
+    want = sorted((k, x, y) for k, x, a, b in lefts for j, y, c, d in rights if k is not None and k == j and None not in (a, b, c, d) and a <= d and b >= c)
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = G.overlapping(spark.createDataFrame(lefts, "k int, x int, a int, b int"), spark.createDataFrame(rights, "k int, y int, c int, d int"), "k", span=200, **SMALL)
+        assert df.columns == ["k", "x", "a", "b", "y", "c", "d"]
+        assert sorted(tuple(r) for r in df.select("k", "x", "y").collect()) == want
+        shares = [r["count"] for r in df.where("k = 1").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert max(shares) < 0.6 * sum(shares)
