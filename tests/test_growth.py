@@ -1,10 +1,12 @@
 """What grows with the square of a group must be results only: rows that the plans make, and results over hot keys."""
 
 import inspect
+import math
 
 from pyspark.sql import functions as F
 
 from marram.operators import graph as G
+from marram.operators import search as S
 
 SMALL = {k: v for k, v in {"rows": 40, "packed": 16}.items() if k in inspect.signature(G.overlapping).parameters}
 
@@ -52,3 +54,33 @@ def test_overlaps_of_a_hot_key(spark):
         for k in conf:
             spark.conf.unset(k)
     assert max(shares) < 0.6 * sum(shares)
+
+
+def test_similar_sets_are_counted_in_blocks(spark):
+    rows = [(i, [f"w{(i * i + j * 11) % (97 if j % 3 else 9)}" for j in range(2 + i % 14)]) for i in range(500)]
+    sets = spark.createDataFrame(rows, "k long, t array<string>")
+    got, made = rows_made(spark, S.jaccard_search(sets.where("k % 5 = 0"), sets, "k", "t", 0.5))
+    of = {k: set(t) for k, t in rows}
+    want = {(a, b, round(j, 9)) for a in range(0, 500, 5) for b in of if a != b and (j := len(of[a] & of[b]) / len(of[a] | of[b])) >= 0.5}
+    assert {(a, b, round(j, 9)) for a, b, j in got} == want and len(got) == len(want) > 500
+    assert made <= len(want) < 0.2 * 100 * 500
+
+
+def test_nearest_vectors_in_blocks(spark):
+    rows = [(i, [float((i * 7 + d * d) % 11 - 5) for d in range(8)], 0) for i in range(700)]
+    rows += [(700, [0.0] * 8, 0), (701, None, 0), (702, [1.0, 2.0], 0), (702, [1.0, 2.0], 0), (703, [1.0, None, 3.0], 0)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got, made = rows_made(spark, S.cosine_search(d.where("vec_id % 100 = 0 or vec_id > 699"), d, "vec_id", "embedding", 5))
+    padded = [(i, [x or 0.0 for x in (v or [])] + [0.0] * (8 - len(v or []))) for i, v, _ in rows]
+
+    def cos(a, b):
+        n = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / n, 6) if n > 0 else 0.0
+
+    want = []
+    for q, a in padded:
+        if q % 100 == 0 or q > 699:
+            want.append((q, sorted((-cos(a, b), i) for i, b in padded if i != q)[:5]))
+    assert sorted((q, i, c) for q, i, c, _ in got if q != 702) == sorted((q, i, -c) for q, w in want if q != 702 for c, i in w)
+    assert len([r for r in got if r[0] == 702]) == 5 and all(1 <= r[3] <= 5 for r in got)
+    assert made < 2 * len(rows)
