@@ -84,3 +84,12 @@ def test_nearest_vectors_in_blocks(spark):
     assert sorted((q, i, c) for q, i, c, _ in got if q != 702) == sorted((q, i, -c) for q, w in want if q != 702 for c, i in w)
     assert len([r for r in got if r[0] == 702]) == 5 and all(1 <= r[3] <= 5 for r in got)
     assert made < 2 * len(rows)
+
+
+def test_shared_trigrams_are_those_that_score(spark):
+    texts = [None, "", "ab", "Al", "x al!!PH y", "a lph", "  bet ", "beta", "é al", "alpha-BE", "pha be", "a", "h", "a b", "lpK a"]
+    d = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)] + [(None, "alpha")], "path string, text string")
+    for q in ("alpha beta", "Al", "é alp", "a  b", "", "h a"):
+        want = sorted(str(r["path"]) for r in S.trigram_search(d, q, "path").collect())
+        assert sorted(str(r["path"]) for r in S.sharing_trigrams(d, q).collect()) == want
+    assert "slice(" not in S.sharing_trigrams(d, "alpha beta")._jdf.queryExecution().toString()
