@@ -5,6 +5,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from marram.functions import text as T
 from marram.operators import graph as G
 from marram.operators import search as S
 
@@ -93,3 +94,12 @@ def test_shared_trigrams_are_those_that_score(spark):
         want = sorted(str(r["path"]) for r in S.trigram_search(d, q, "path").collect())
         assert sorted(str(r["path"]) for r in S.sharing_trigrams(d, q).collect()) == want
     assert "slice(" not in S.sharing_trigrams(d, "alpha beta")._jdf.queryExecution().toString()
+
+
+def test_trigrams_are_counted_in_place(spark):
+    texts = [None, "", "a", "ab", "abc", "Ab--c", " --x y z!!", "ééé", "Kab", "é", "abcab", "c", "\U0001f600a béc", "a1 " * 500, None]
+    d = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    want = d.select(F.explode(T.trigrams(F.col("text"))).alias("g")).groupBy("g").count()
+    got, made = rows_made(spark, S.trigram_counts(d))
+    assert dict(got) == {r["g"]: r["count"] for r in want.collect()} and made < 100
+    assert S.trigram_counts(d.limit(0)).count() == 0
