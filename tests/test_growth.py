@@ -103,3 +103,14 @@ def test_trigrams_are_counted_in_place(spark):
     got, made = rows_made(spark, S.trigram_counts(d))
     assert dict(got) == {r["g"]: r["count"] for r in want.collect()} and made < 100
     assert S.trigram_counts(d.limit(0)).count() == 0
+
+
+def test_best_documents_of_many_queries(spark):
+    docs = [(i, " ".join(f"w{(i * j + j * j) % 37}" for j in range(3 + i % 40))) for i in range(400)] + [(400, None), (401, ""), (402, "..."), (403, "W1 é w1")]
+    asked = [(q, f"w{(q * 5 + j * j) % 45}") for q in range(30) for j in range(1 + q % 6)] + [(30, "none"), (31, None)]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(asked, "item_id long, term string")
+    want = S.ranked(S.bm25_batch(d, q).withColumn("score", F.round("score", 6)), by=["item_id"]).where("rank <= 3").select("item_id", "doc_id", "score", "rank")
+    for most in (500, 7):
+        got, made = rows_made(spark, S.bm25_best(d, q, 3, most=most))
+        assert sorted(got) == sorted(tuple(r) for r in want.collect()) and len(got) > 80
+        assert made <= 32 * 3 * 8
